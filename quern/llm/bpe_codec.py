@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from .common import field, map_texts
 
 #: Words, and segments between spaces, whose ids a worker remembers; beyond them it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 #: Trees that are advanced together, few enough to stay in a CPU's cache.
 TOGETHER = 4096
 #: Longest word, in bytes, that is merged beside others of its size.
@@ -230,21 +231,20 @@ class Codec:
         self.split_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.words = regex.compile(PATTERN).findall
         self.unsafe = regex.compile(r" (?:\s|$)").search
-        self.segments: dict[str, bytes] = {}
-        self.merged: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Merges the words that aren't remembered."""
-        new = [w for w in words if w not in self.merged]
-        if len(self.merged) + len(new) > REMEMBERED:
-            self.merged.clear()
-            new = list(words)
-        raw = [w.encode() for w in new]
+        self.memo: dict[str, bytes] = {}
+        top = max(self.bytes)
+        self.table = [self.bytes.get(i, b"") for i in range(top + 1)]
+
+    def merged(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word."""
+        raw = [w.encode() for w in words]
         short = [i for i, x in enumerate(raw) if len(x) <= BESIDE]
-        self.merged.update(zip((new[i] for i in short), merge_beside([raw[i] for i in short], self.byte_array, self.pairs), strict=True))
-        for w, x in zip(new, raw, strict=True):
-            if len(x) > BESIDE:
-                self.merged[w] = np.array(merge_all([self.byte_ids[b] for b in x], self.ranks), dtype="<i4").tobytes()
+        out = dict(zip([words[i] for i in short], merge_beside([raw[i] for i in short], self.byte_array, self.pairs), strict=True))
+        if len(short) < len(raw):
+            for w, x in zip(words, raw, strict=True):
+                if len(x) > BESIDE:
+                    out[w] = np.array(merge_all([self.byte_ids[b] for b in x], self.ranks), dtype="<i4").tobytes()
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers.
@@ -253,43 +253,43 @@ class Codec:
         a word, so a text is cut there first and its segments are remembered; a text
         with other white space around a space is split by the pattern as a whole.
         """
-        get, plans, new = self.segments.get, [], set()
+        memo = self.memo
+        get, plans, new = memo.get, [], set()
         for text in texts:
             plan = []
             for i, x in enumerate(self.split_added.split(text) if self.split_added and any(a in text for a in self.added) else [text]):
                 if i % 2:
                     plan.append((None, np.array([self.added[x]], dtype="<i4").tobytes()))
-                elif self.unsafe(x):
-                    plan.append((None, self.words(x)))
                 elif x:
-                    first, *rest = x.split(" ")
-                    parts = [first]
-                    parts += [" " + y for y in rest]
+                    if self.unsafe(x):
+                        parts = self.words(x)
+                    else:
+                        first, *rest = x.split(" ")
+                        parts = [first]
+                        parts += [" " + y for y in rest]
                     plan.append((parts, found := list(map(get, parts))))
                     if None in found:
                         new.update([p for p, f in zip(parts, found, strict=True) if f is None])
             plans.append(plan)
-        cut = {p: self.words(p) for p in new}
-        wanted = set().union(*cut.values(), *(x for plan in plans for parts, x in plan if parts is None and isinstance(x, list)))
-        self.learn(wanted)
-        word = self.merged.__getitem__
-        fresh = {p: b"".join(map(word, words)) for p, words in cut.items()}
+        cut = [(p, self.words(p)) for p in new]
+        fresh = self.merged(list({w for _, words in cut for w in words if w not in memo}))
+        for p, words in cut:
+            if len(words) != 1:
+                fresh[p] = b"".join([memo[w] if w in memo else fresh[w] for w in words])
         out = []
         for plan in plans:
             ids = []
             for parts, x in plan:
-                if isinstance(x, bytes):
+                if parts is None:
                     ids.append(x)
-                elif parts is None:
-                    ids += map(word, x)
                 elif None in x:
                     ids += [fresh[p] if f is None else f for p, f in zip(parts, x, strict=True)]
                 else:
                     ids += x
             out.append(b"".join(ids))
-        if len(self.segments) + len(fresh) > REMEMBERED:
-            self.segments.clear()
-        self.segments.update((p, x) for p, x in fresh.items() if len(p) < 200)
+        if len(memo) + len(fresh) > REMEMBERED:
+            memo.clear()
+        memo.update((p, x) for p, x in fresh.items() if len(p) < 100)
         return out
 
     def encode(self, text: str) -> bytes:
@@ -297,8 +297,13 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Unknown ids give nothing; bytes that are no UTF-8 give U+FFFD."""
-        get = self.bytes.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", errors="replace")
+        try:
+            raw = b"".join(map(self.table.__getitem__, ids)) if not ids or min(ids) >= 0 else None
+        except IndexError:
+            raw = None
+        if raw is None:
+            raw = b"".join([self.bytes.get(i, b"") for i in ids])
+        return raw.decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=2)
@@ -338,7 +343,11 @@ def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", out: str = "d
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [codec.decode(x or []) for x in part.column("__ids").to_pylist()]
+                ids = part.column("__ids")
+                values, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *np.asarray(pc.fill_null(pc.list_value_length(ids), 0))]).tolist()
+                if values.dtype.kind == "f":  # null ids among them
+                    values = np.nan_to_num(values, nan=-1).astype(np.int64)
+                texts = [codec.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [pa.array(texts, pa.string())], names=[*keep, out])
 
     return df.select(*keep, F.col(ids_col).alias("__ids")).mapInArrow(work, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context.isDefined():
-            return context.get()
+            return re.sub("^file:/(?=[^/])", "file:///", context.get())
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -74,6 +75,21 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, fields: list[T.Struct
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(work, schema)
 
 
+class Powers:
+    """Powers of an odd factor and of its inverse modulo 2**64, as many as the longest text so far needs."""
+
+    FACTOR = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up), 1 << 14)
+            factors = (self.FACTOR, pow(self.FACTOR, -1, 1 << 64))
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(f))])) for f in factors)
+
+
 def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
 

@@ -7,13 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe_codec, token_counts
+from . import bpe_codec, language_id, license_scan, lz_fingerprint, mixing, ngram_join, secret_scan, token_counts, topk_search, warc
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    names = F.transform("licenses", lambda x: F.concat_ws(":", x["line"].cast("string"), x["license"]))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.round(F.array_max(F.transform("licenses", lambda x: x["dice"])), 6).alias("best_dice"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     encoded = bpe_codec.encode(table(spark, sf_dir, "documents"), tokenizer, keep=["doc_id"])
@@ -22,5 +35,32 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_bpe_codec)}
-ORACLE_SQL: dict[str, str] = {}
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.default_models(docs), keep=["doc_id"])
+    counts = [secret_scan.count_kind(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    added = (F.size("all_spans") - F.size("base_spans")).cast("long").alias("n_markov")
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.listed(F.col("all_spans")).alias("spans"), added)
+
+
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("copies")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lz_fingerprint, op3_license_scan, op4_bpe_codec, op5_ngram_join, op6_language_id, op7_warc, op8_secret_scan, op9_topk_search, op10_mixing)}
