@@ -33,20 +33,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near duplicates the row of the least doc_id, of repeated rows one.
-
-    Documents without words are their own classes. Null doc_ids come after all others:
-    a row of null doc_id stays if its class has no other (one for each class).
-    """
-    classes = ngram_join.join(docs)
-    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    met = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select(*COLUMNS)
-    # the rows of one id lie together after the join; those of null ids are told apart by their text
-    return met.dropDuplicates(["doc_id"]) if not _has_null_ids(docs) else met.withColumn("__t", F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))).dropDuplicates(["doc_id", "__t"]).select(*COLUMNS)
-
-
-def _has_null_ids(docs: DataFrame) -> bool:
-    return bool(docs.select("doc_id").where(F.col("doc_id").isNull()).limit(1).count())
+    """Keeps of each class of near duplicates the row of the least doc_id, of equal rows one. Documents without words stay."""
+    return ngram_join.keep_one(docs.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

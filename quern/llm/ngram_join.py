@@ -227,8 +227,13 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, VALUES)
 
 
+def row_name(id_: Column, text: Column) -> Column:
+    """A digest that rows share only if both id and text are equal."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("-")), F.coalesce(F.md5(text), F.lit("-"))))
+
+
 def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key, values (16 bits of each MinHash value) and bands of each text; null but for the id where it has no words."""
+    """id, name (a digest of id and text), key, values (16 bits of each MinHash value) and bands of each row; the last three null where a text has no words."""
 
     def make():
         def apply(texts):
@@ -241,7 +246,7 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return apply
 
-    return map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__t")), ["id"], "__t", [field("key", T.BinaryType()), field("values", T.BinaryType()), field("bands", T.BinaryType())], make)
+    return map_texts(docs.select(F.col(id_col).alias("id"), row_name(F.col(id_col), F.col(text_col)).alias("name"), F.col(text_col).alias("__t")), ["id", "name"], "__t", [field("key", T.BinaryType()), field("values", T.BinaryType()), field("bands", T.BinaryType())], make)
 
 
 def candidate_edges(reps: DataFrame, least: list[int], block_rows: int) -> DataFrame:
@@ -346,17 +351,8 @@ def intersections(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-5, block_rows: int = 512, block_bytes: int = 16 << 20) -> DataFrame:
-    """The class and the links of each row: id, class_id, n_links, n_text_links, n_copies.
-
-    Two rows are linked if their texts' sets of shingles of five words have a Jaccard
-    likeness of ``threshold`` or more. class_id is the least id of the rows that links
-    connect, n_links the number of rows a row is linked to (copies of its text among
-    them), n_text_links that of different texts, n_copies that of rows with its text.
-    A null text, and one without words, is linked to nothing: its class is its id.
-    Null ids are left aside in class_id (null if a class has no other); repeated rows
-    are copies of one another. Exact but for the chances in the module's text.
-    """
+def classified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-5, block_rows: int = 512, block_bytes: int = 16 << 20) -> DataFrame:
+    """id, name, class (null without words), class_id, n_links, n_text_links and n_copies of each row, as join() says."""
     least = least_matches(threshold, tolerance)
     prepared = written(prepare(docs, id_col, text_col), "join-prepared")
     grouped = prepared.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), F.first("bands").alias("bands"))
@@ -372,7 +368,35 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     counts = links.groupBy(F.col("key").alias("k")).agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     whole = reps.select("key", "rep_id", "copies").join(linked, F.col("key") == F.col("node"), "left").join(counts, F.col("key") == F.col("k"), "left").withColumn("class", F.coalesce("class", "key"))
     least_ids = whole.groupBy(F.col("class").alias("c")).agg(F.min("rep_id").alias("class_id"))
-    texts_out = whole.join(least_ids, F.col("class") == F.col("c")).select(F.col("key").alias("k2"), "class_id", (F.col("copies") - 1 + F.coalesce("doc_links", F.lit(0))).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"), F.col("copies").alias("n_copies"))
-    found = prepared.select("id", "key").join(texts_out, F.col("key") == F.col("k2"), "left")
+    texts_out = whole.join(least_ids, F.col("class") == F.col("c")).select(F.col("key").alias("k2"), "class", "class_id", (F.col("copies") - 1 + F.coalesce("doc_links", F.lit(0))).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"), F.col("copies").alias("n_copies"))
+    found = prepared.select("id", "name", "key").join(texts_out, F.col("key") == F.col("k2"), "left")
     alone = F.col("key").isNull()
-    return found.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    return found.select("id", "name", "class", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The class and the links of each row: id, class_id, n_links, n_text_links, n_copies.
+
+    Two rows are linked if their texts' sets of shingles of five words have a Jaccard
+    likeness of ``threshold`` or more. class_id is the least id of the rows that links
+    connect, n_links the number of rows a row is linked to (copies of its text among
+    them), n_text_links that of different texts, n_copies that of rows with its text.
+    A null text, and one without words, is linked to nothing: its class is its id.
+    Null ids are left aside in class_id (null if a class has no other); repeated rows
+    are copies of one another. Exact but for the chances in the module's text.
+    """
+    return classified(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias(id_col), "class_id", "n_links", "n_text_links", "n_copies")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` of which each class keeps one: that of the least id (null last), then of the least digest.
+
+    A row without words is a class of its own; equal rows are one.
+    """
+    rows = classified(docs, id_col=id_col, text_col=text_col, **options)
+    order = F.struct(F.col("id").isNull().alias("missing"), F.col("id").alias("id"), F.col("name").alias("name"))
+    first = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(order).alias("first")).select(F.col("first.name").alias("kept"))
+    kept = first.unionByName(rows.where(F.col("class").isNull()).select(F.col("name").alias("kept"))).distinct()
+    # equal rows lie together after the join, which has dealt the rows by name
+    named = docs.withColumn("__name", row_name(F.col(id_col), F.col(text_col)))
+    return named.join(kept, F.col("__name") == F.col("kept"), "left_semi").dropDuplicates(["__name"]).select(*docs.columns)

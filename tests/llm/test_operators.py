@@ -394,6 +394,13 @@ def test_join_by_brute_force(spark, block_rows):
     assert got == want
 
 
+def test_one_of_each_class_is_kept(spark):
+    text, near = " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in [*range(99), 500])
+    rows = [(5, text), (5, "quite another text of the same id here"), (9, near), (9, near), (3, near), (None, text), (None, "only with no id at all, this one"), (7, None), (8, ""), (8, "")]
+    kept = sorted(((r.doc_id or -1), r.text or "") for r in ngram_join.keep_one(docs_of(spark, rows)).collect())
+    assert kept == sorted([(3, near), (5, rows[1][1]), (-1, rows[6][1]), (7, ""), (8, "")])
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.join(docs_of(spark, []).limit(0)).count() == 0
     (r,) = ngram_join.join(docs_of(spark, [(3, None)])).collect()
