@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 
@@ -61,7 +62,7 @@ def group_breakdown(rows: DataFrame, group: str, source: str, work: str) -> Data
     return per_group.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("rows").alias("n_rows"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp likeness, which depends on the order of its arguments."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

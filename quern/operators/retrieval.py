@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 
@@ -175,7 +176,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str
         found = part if found is None else found.unionByName(part)
     if found is None:
         return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema[id_col].dataType.simpleString()}, score double, rank int")
-    return top_ranked(found, k)
+    return top_ranked(found, k, decimals=9)
 
 
 def _best_of(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, id_type: str) -> DataFrame:
@@ -236,24 +237,26 @@ def collapse(ranked: DataFrame, *, group: str = "group_id", least: float = 0.9,
 
     In rank order a row joins the first cluster of its group whose leader's shingles
     are alike enough, else it leads a new one. The survivor is the canonical copy if
-    there is one, else the leader; it takes the leader's rank. A ranking is bounded
-    (the overfetched top), so the fold over it is too.
+    there is one, else the leader; it takes the leader's rank. Each row depends on the
+    clusters before it, so this is a fold in Python, a query at a time: a ranking is
+    the overfetched top of a search, bounded by its depth.
     """
-    item = F.struct(F.col("rank"), F.col("chunk_id"), F.col(group).cast("string").alias("g"), (F.col("is_canonical") if keep_canonical else F.lit(False)).alias("canon"), F.col("shingles").alias("s"))
-    lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    schema = dict(ranked.dtypes)
-    none = F.array().cast(f"array<struct<rank:{schema['rank']},chunk_id:{schema['chunk_id']},g:string,canon:boolean,s:array<string>>>")
-
-    def same(c: Column, x: Column) -> Column:
-        return (c["g"] == x["g"]) & (t.jaccard(c["s"], x["s"]) >= least)
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(acc), F.lit(1))), F.lit(0), lambda found, i: F.when((found == 0) & (i <= F.size(acc)) & same(F.element_at(acc, F.least(i, F.greatest(F.size(acc), F.lit(1)))), x), i).otherwise(found))
-        taken = F.transform(acc, lambda c, i: F.when((i + 1 == at) & x["canon"] & ~c["canon"], F.struct(c["rank"].alias("rank"), x["chunk_id"].alias("chunk_id"), c["g"].alias("g"), F.lit(True).alias("canon"), c["s"].alias("s"))).otherwise(c))
-        return F.when(F.size(acc) == 0, F.array(x)).when(at > 0, taken).otherwise(F.concat(acc, F.array(x)))
+    columns = [ranked.schema[c] for c in ("query_id", "rank", "chunk_id", group)]
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        clusters: list[list] = []  # group, leader's shingles, rank, survivor, whether it is canonical
+        for rank, chunk, own, canon, shingles in rows.sort_values(["rank", "chunk_id"], kind="stable")[["rank", "chunk_id", group, "is_canonical", "shingles"]].itertuples(index=False):
+            held = set(shingles)
+            for c in clusters:
+                if c[0] == own and held and c[1] and len(held & c[1]) >= least * len(held | c[1]):
+                    if keep_canonical and canon and not c[4]:
+                        c[3], c[4] = chunk, True
+                    break
+            else:
+                clusters.append([own, held, rank, chunk, bool(canon)])
+        return pd.DataFrame([(rows["query_id"].iloc[0], c[2], c[3], c[0]) for c in clusters], columns=["query_id", "rank", "chunk_id", group])
 
-    folded = lists.select("query_id", F.aggregate("items", none, step).alias("kept"))
-    return folded.select("query_id", F.explode("kept").alias("c")).select("query_id", F.col("c.rank").alias("rank"), F.col("c.chunk_id").alias("chunk_id"), F.col("c.g").alias(group))
+    return ranked.select("query_id", "rank", "chunk_id", group, "is_canonical", "shingles").groupBy("query_id").applyInPandas(fold, T.StructType(columns))
 
 
 def cap_groups(ranked: DataFrame, k: int, *, cap: int = 2, group: str = "group_id", demoted: str | None = None) -> DataFrame:
