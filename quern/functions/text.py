@@ -62,10 +62,16 @@ def surnames(authors: Column) -> Column:
 
 
 def shingles(x: Column, n: int = 3) -> Column:
-    """Distinct runs of n lower-case words; fewer words give one run of all, none gives none."""
+    """Distinct runs of n lower-case words; fewer words give one run of all, none gives none.
+
+    The words are shifted against themselves: slicing them anew for each run would
+    split the text as often as it has words.
+    """
     w = split_words(F.lower(or_blank(x)))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1)))
-    return F.when(F.size(w) > 0, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))).otherwise(F.array().cast("array<string>"))
+    runs = F.greatest(F.lit(0), F.size(w) - (n - 1))
+    shifted = F.arrays_zip(*[F.slice(w, F.lit(j + 1), runs).alias(f"w{j}") for j in range(n)])
+    joined = F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{j}"] for j in range(n)]))
+    return F.when(F.size(w) >= n, F.array_distinct(joined)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
