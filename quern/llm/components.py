@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         joined = down.join(low, F.col("u") == F.col("n"))
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct()
-        now = written(small, name)
+        before, now = now, written(small, name)
+        discard(before)
         found = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("s")).first()
         if tuple(found) == mark:
             break

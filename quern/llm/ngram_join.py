@@ -251,10 +251,12 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def candidate_edges(reps: DataFrame, least: list[int], block_rows: int) -> DataFrame:
     """Edges (u, v) of spanning forests of the pairs that share a bucket and pass."""
-    in_bands = reps.select("key", "values", "bands", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("key", "values", F.substring("bands", F.col("band") * 8 + 1, F.lit(8)).alias("bucket"))
+    in_bands = reps.select("key", "bands", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("key", F.substring("bands", F.col("band") * 8 + 1, F.lit(8)).alias("bucket"))
     # partial counts before the shuffle; most buckets have one row and go no further
     shared = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("bucket", "shared")
-    members = in_bands.join(shared, F.col("bucket") == F.col("shared")).select("bucket", "key", "values", F.ceil(F.col("n") / F.lit(block_rows)).alias("blocks"))
+    kept = in_bands.join(shared, F.col("bucket") == F.col("shared")).select("bucket", F.col("key").alias("of"), F.ceil(F.col("n") / F.lit(block_rows)).alias("blocks"))
+    # the MinHash values join late: only for the few rows of shared buckets
+    members = kept.join(reps.select("key", "values"), F.col("of") == F.col("key")).select("bucket", "key", "values", "blocks")
     dealt = units(members, "bucket", F.col("blocks"), F.col("key")).select("bucket", "i", "j", "side", "key", "values")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
