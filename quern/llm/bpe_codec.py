@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import field, map_texts
 
 #: Words, and segments between spaces, whose ids a worker remembers; beyond them it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Trees that are advanced together, few enough to stay in a CPU's cache.
 TOGETHER = 4096
 #: Longest word, in bytes, that is merged beside others of its size.
