@@ -6,6 +6,13 @@ coefficient to reach a threshold t, the smaller set must have at least
 t / (2 - t) times as many bigrams as the larger, so a unit's size alone leaves
 few candidate templates, for most units none. All of it is SQL expressions,
 without a shuffle.
+
+A notice that runs over several lines, or stands within one, is none of these
+units. So each template is also compared with all windows of consecutive words of
+the text, of as many bigrams as a unit of its size bounds. Leaving out an end of a
+window that is no bigram of the template never lowers the coefficient, so only
+windows from one such bigram to another are looked at, and of those only where
+enough of them lie close together.
 """
 
 from __future__ import annotations
@@ -47,10 +54,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def pairs(w: Column) -> Column:
+    """Pairs of adjacent words in order."""
+    left = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), left), F.slice(w, F.lit(2), left), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def bigrams(w: Column) -> Column:
     """Distinct pairs of adjacent words; a single word stands for itself."""
-    pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(w) > 1, F.array_distinct(pairs)).otherwise(w)
+    return F.when(F.size(w) > 1, F.array_distinct(pairs(w))).otherwise(w)
 
 
 def size_bounds(n: int, threshold: float) -> tuple[int, int]:
@@ -59,6 +71,51 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return max(1, math.ceil(n * low - 1e-9)), math.floor(n / low + 1e-9)
 
 
+def let(x: Column, f) -> Column:
+    """f of x, with x computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def best_window(p: Column, hits: Column, grams: list[str], threshold: float) -> Column:
+    """(dice, place, least) of the window of bigrams ``p`` that is most like a template, null if none reaches the threshold.
+
+    hits (i, g) are the bigrams of ``p`` that any template has, with their places from 0;
+    place is minus that of the window's first bigram, so that of equal windows the first
+    is the greatest, and least is minus its length. Starts are taken by the number of
+    the template's bigrams ahead, and left out once that can't lead to a better window.
+    """
+    n = len(grams)
+    low, high = size_bounds(n, threshold)
+    none = F.lit(None).cast("struct<dice:double,place:int,least:int>")
+    bound = lambda shared: F.lit(2.0) * shared / (shared + n)
+
+    def started(h: Column, k: Column) -> Column:
+        first = F.element_at(h, k)["i"]
+        ahead = F.filter(F.slice(h, k, F.lit(high)), lambda x: x["i"] < first + high)
+        return let(ahead, lambda r: F.struct(F.size(F.array_distinct(F.transform(r, lambda x: x["g"]))).alias("s"), (-k).alias("k"), r.alias("r")))
+
+    def windows(best: Column, r: Column) -> Column:
+        first = F.element_at(r, 1)["i"]
+        ends = F.filter(F.sequence(F.lit(low), F.size(r)), lambda e: bound(e) >= F.coalesce(best["dice"], F.lit(threshold - 1e-9)))
+
+        def window(e: Column) -> Column:
+            length = F.element_at(r, e)["i"] - first + 1
+            shared = F.size(F.array_distinct(F.transform(F.slice(r, F.lit(1), e), lambda x: x["g"])))
+            whole = F.size(F.array_distinct(F.slice(p, first + 1, length)))
+            return F.struct((F.lit(2.0) * shared / (whole + n)).alias("dice"), (-first).alias("place"), (-length).alias("least"))
+
+        return F.greatest(best, F.array_max(F.transform(ends, window)))
+
+    def searched(h: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(h) - low + 1), lambda k: F.element_at(h, k + low - 1)["i"] - F.element_at(h, k)["i"] < high)
+        starts = F.filter(F.transform(places, lambda k: started(h, k)), lambda x: x["s"] >= low)
+        better = lambda best, x: F.when(best.isNull() | (bound(x["s"]) >= best["dice"]), windows(best, x["r"])).otherwise(best)
+        return F.aggregate(F.reverse(F.array_sort(starts)), none, better)
+
+    found = let(F.filter(hits, lambda x: x["g"].isin(grams)), lambda h: F.when(F.size(h) >= low, searched(h)).otherwise(none))
+    return let(found, lambda x: F.when(x["dice"] >= threshold, x))
+
+
 def anchor_words(sets: dict[str, list[str]], threshold: float) -> list[str]:
     """Few words of which a text holds one if any unit of it reaches the threshold with any template.
 
@@ -79,18 +136,22 @@ def anchor_words(sets: dict[str, list[str]], threshold: float) -> list[str]:
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, templates: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Adds licenses, an array of (license, line, dice), to ``keep`` (by default all columns).
+    """Adds licenses and notices, arrays of (license, line, dice), to ``keep`` (by default all columns).
 
-    For each unit the template of the highest coefficient (of equal ones the first by
+    licenses: For each unit the template of the highest coefficient (of equal ones the first by
     identifier) is listed if that reaches ``threshold``. line is 0 for the whole text,
     else the number of the line from 1; a text of one line is one unit. Texts without a
     licence, null and empty ones have an empty array. Repeated rows give equal rows.
+
+    notices: Each template of which a window of words reaches ``threshold``, by
+    identifier, with the coefficient of its best window (of equal ones the first, then the
+    shortest) and the line where that starts. Lines don't bound windows; a template of one word has none.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "licenses"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("licenses", "notices")]
     sets = {name: bigrams_of(t) for name, t in sorted((TEMPLATES if templates is None else templates).items())}
     none = F.array().cast("array<struct<license:string,line:int,dice:double>>")
     if not sets:
-        return docs.select(*keep, none.alias("licenses"))
+        return docs.select(*keep, none.alias("licenses"), none.alias("notices"))
     text = F.coalesce(F.col("__text"), F.lit(""))
     lines = F.split(text, "\n")
 
@@ -115,4 +176,17 @@ def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, tem
 
     best = F.filter(F.transform(sized, judged), lambda x: x["dice"] >= threshold)
     found = F.transform(best, lambda x: F.struct(x["license"].alias("license"), x["line"].alias("line"), x["dice"].alias("dice")))
-    return docs.select(*keep, F.col(text_col).alias("__text")).select(*keep, F.when(anchored(text), found).otherwise(none).alias("licenses"))
+
+    def noticed(p: Column) -> Column:
+        union = sorted({g for grams in sets.values() for g in grams})
+        hits = F.filter(F.transform(p, lambda g, i: F.when(g.isin(union), F.struct(i.alias("i"), g.alias("g")))), lambda x: x.isNotNull())
+        sizes = F.transform(lines, lambda t: F.size(words(t)))
+        state = lambda n, line: F.struct(n.cast("int").alias("n"), line.cast("int").alias("line"))
+        line_of = lambda c, at: F.aggregate(c, state(F.lit(0), F.lit(0)), lambda a, n: F.when(a["n"] > at, a).otherwise(state(a["n"] + n, a["line"] + 1)))["line"]
+        named = lambda name, found: let(found, lambda x: F.when(x.isNotNull(), F.struct(F.lit(name).alias("license"), (-x["place"]).alias("at"), x["dice"].alias("dice"))))
+        best = lambda h: F.array(*[named(name, best_window(p, h, grams, threshold)) for name, grams in sets.items()])
+        placed = lambda x: let(sizes, lambda c: F.transform(x, lambda y: F.struct(y["license"].alias("license"), line_of(c, y["at"]).alias("line"), y["dice"].alias("dice"))))
+        return let(F.filter(let(hits, best), lambda x: x.isNotNull()), lambda x: F.when(F.size(x) > 0, placed(x)).otherwise(none))
+
+    runs = let(words(text), lambda w: let(pairs(w), noticed))
+    return docs.select(*keep, F.col(text_col).alias("__text")).select(*keep, F.when(anchored(text), found).otherwise(none).alias("licenses"), F.when(anchored(text), runs).otherwise(none).alias("notices"))

@@ -23,8 +23,9 @@ def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    names = F.transform("licenses", lambda x: F.concat_ws(":", x["line"].cast("string"), x["license"]))
-    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.round(F.array_max(F.transform("licenses", lambda x: x["dice"])), 6).alias("best_dice"))
+    names = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["line"].cast("string"), x["license"])), ",")
+    best = lambda c: F.round(F.array_max(F.transform(c, lambda x: x["dice"])), 6)
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), names("licenses").alias("licenses"), best("licenses").alias("best_dice"), names("notices").alias("notices"), best("notices").alias("best_notice"))
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
