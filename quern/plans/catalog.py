@@ -193,7 +193,7 @@ def entry(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return v.select(F.col("vec_id").alias("chunk_id"), "embedding", "label"), v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    return v.select(F.col("vec_id").alias("chunk_id"), "embedding", "label"), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def dense_topk(spark, sf_dir):
