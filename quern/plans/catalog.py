@@ -291,10 +291,10 @@ def latency_quantiles(spark, sf_dir):
 
 
 def bootstrap_ci(spark, sf_dir):
-    base = table(spark, sf_dir, "embeddings").where("vec_id < 200")
+    base = table(spark, sf_dir, "embeddings")
     a = base.select(F.col("vec_id").alias("query_id"), F.element_at("embedding", 1).cast("double").alias("recall"))
     b = base.select(F.col("vec_id").alias("query_id"), F.element_at("embedding", 2).cast("double").alias("recall"))
-    out = evaluation.paired_bootstrap(a, b, resamples=500)
+    out = evaluation.paired_bootstrap(a, b)
     return out.select("n", *[F.round(c, 6).alias(c) for c in ("mean_diff", "ci_low", "ci_high")], "significant")
 
 

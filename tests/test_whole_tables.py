@@ -23,3 +23,19 @@ def test_dense_topk_asks_all_ids_divisible_by_20(spark, sf):
     for r in sorted(catalog.dense_topk(spark, sf).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.chunk_id)
     assert got == want and max(want) > 20
+
+
+def test_bootstrap_of_the_whole_table(spark, sf):
+    """2,000 resamples of all rows, with the operator's draws in plain arithmetic."""
+    sf = sf.replace("0.001", "0.01")
+    d = np.array([float(e[0]) - float(e[1]) for e, in duckdb.sql(f"SELECT embedding FROM '{sf}/embeddings.parquet' ORDER BY vec_id").fetchall()])
+    n, means = len(d), []
+    for b in range(2000):
+        x = (b * 48271 + np.arange(n, dtype=np.int64) * 69621 + 42) % 2147483647
+        x = ((x + 1) * 16807) % 2147483647
+        x = (x * 48271) % 2147483647
+        means.append(d[np.floor((x * n) / 2147483647.0).astype(int)].mean())
+    means.sort()
+    r = catalog.bootstrap_ci(spark, sf).first()
+    assert r.n == n > 200
+    assert (r.mean_diff, r.ci_low, r.ci_high) == pytest.approx((d.mean(), means[50], means[1950]), abs=2e-6)
