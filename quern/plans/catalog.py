@@ -67,7 +67,7 @@ def manifest_rollup(spark, sf_dir):
 
 
 def _linked(spark, sf_dir):
-    return linking.link_groups(papers(spark, sf_dir), F.substring("title", 1, 24), "doc_id")
+    return linking.link_groups(papers(spark, sf_dir), F.col("title"), "doc_id")
 
 
 def link_groups(spark, sf_dir):

@@ -39,3 +39,24 @@ def test_bootstrap_of_the_whole_table(spark, sf):
     r = catalog.bootstrap_ci(spark, sf).first()
     assert r.n == n > 200
     assert (r.mean_diff, r.ci_low, r.ci_high) == pytest.approx((d.mean(), means[50], means[1950]), abs=2e-6)
+
+
+def whole_titles(name, folder):
+    """The catalog's SQL of a linking query with the cut of titles taken out."""
+    sql = oracles.ORACLE_SQL[name].replace("substr(title, 1, 24)", "title")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    return sorted(map(str, con.execute(sql).fetchall()))
+
+
+@pytest.mark.parametrize("name", ["link_groups", "canonical_pick", "group_breakdown", "unique_papers"])
+def test_titles_link_whole(spark, sf, name):
+    sf = sf.replace("0.001", "0.01")
+    got = sorted(str(tuple(r)) for r in catalog.QUERIES[name](spark, sf).collect())
+    assert got == whole_titles(name, sf)
+
+
+def test_titles_alike_in_24_characters_stay_apart(spark, tmp_path):
+    rows = [(1, "the same four and twenty letters here, A", "s", "en", 9), (2, "the same four and twenty letters here, B", "s", "en", 9), (3, "The same four and twenty letters here A", "t", "en", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.group_id for r in catalog.link_groups(spark, str(tmp_path)).collect()} == {1: "grp0001", 2: "", 3: "grp0001"}
