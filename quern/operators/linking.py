@@ -87,17 +87,19 @@ def fuzzy_title_pairs(rows: DataFrame, *, id_col: str, title_col: str, authors_c
     """Pairs of rows that are likely the same work: shared surnames, near titles, near years.
 
     The bound 2 min / (sum of lengths) on the likeness is a native filter before the
-    Python function, so few pairs reach it.
+    Python function, so few pairs reach it. Lengths and years are compared first, so
+    only pairs near in both are joined with titles and names.
     """
     keyed = rows.select(F.col(id_col).alias("id"), t.title_words(F.col(title_col)).alias("title"), t.surnames(F.col(authors_col)).alias("names"), (F.col(year_col).cast("string") if year_col else F.lit("")).alias("year"))
     keyed = keyed.where(~F.startswith("title", F.lit("proceedings of")))
     pairs = blocked_pairs(keyed, "id", F.col("names"), max_block)
-    side = lambda x: keyed.select(*[F.col(c).alias(f"{c}_{x}") for c in keyed.columns])
-    met = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
-    shared = F.size(F.array_intersect("names_a", "names_b"))
+    small = keyed.select("id", F.length("title").alias("length"), "year")
+    side = lambda rows, x: rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns])
+    both = lambda pairs, rows: pairs.join(side(rows, "a"), F.col("a") == F.col("id_a")).join(side(rows, "b"), F.col("b") == F.col("id_b"))
     gap = F.coalesce(F.abs(F.try_to_number("year_a", F.lit("9999")) - F.try_to_number("year_b", F.lit("9999"))), F.lit(0))
-    la, lb = F.length("title_a"), F.length("title_b")
-    near = met.where((shared >= strong_authors) & (gap <= max_years) & (F.lit(2.0) * F.least(la, lb) >= F.lit(least) * (la + lb)))
+    la, lb = F.col("length_a"), F.col("length_b")
+    close = both(pairs, small).where((gap <= max_years) & (F.lit(2.0) * F.least(la, lb) >= F.lit(least) * (la + lb))).select("a", "b")
+    near = both(close, keyed.drop("year")).where(F.size(F.array_intersect("names_a", "names_b")) >= strong_authors)
     scored = near.withColumn("title_sim", title_ratio("title_a", "title_b")).where(F.col("title_sim") >= least)
     return scored.select("a", "b", "title_sim", t.jaccard(F.col("names_a"), F.col("names_b")).alias("author_overlap"))
 

@@ -126,7 +126,7 @@ def near_miss_blocks(spark, sf_dir):
 
 
 def fuzzy_title_pairs(spark, sf_dir):
-    rows = papers(spark, sf_dir).select("doc_id", F.substring("title", 1, 120).alias("title"), F.array_join(F.slice(t.significant_words(F.col("title")), 1, 4), "; ").alias("authors"), F.lit("2020").alias("year"))
+    rows = papers(spark, sf_dir).select("doc_id", "title", F.array_join(t.significant_words(F.col("title")), "; ").alias("authors"), F.lit("2020").alias("year"))
     return linking.fuzzy_title_pairs(rows, id_col="doc_id", title_col="title", authors_col="authors", year_col="year")
 
 

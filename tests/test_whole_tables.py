@@ -1,5 +1,9 @@
 """Catalog queries over whole tables: against brute force and whole-table SQL, not the catalog's own SQL."""
 
+import difflib
+import re
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -60,3 +64,22 @@ def test_titles_alike_in_24_characters_stay_apart(spark, tmp_path):
     rows = [(1, "the same four and twenty letters here, A", "s", "en", 9), (2, "the same four and twenty letters here, B", "s", "en", 9), (3, "The same four and twenty letters here A", "t", "en", 9)]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.group_id for r in catalog.link_groups(spark, str(tmp_path)).collect()} == {1: "grp0001", 2: "", 3: "grp0001"}
+
+
+def test_fuzzy_pairs_of_whole_titles(spark, tmp_path):
+    """Against all pairs: titles alike only after character 120, or sharing only later words, count; those that differ there don't."""
+    head, tail = "common heading words " * 6, " ".join(f"tail{i:04d}" for i in range(40))
+    texts = [f"{head}{tail}", f"{head}{tail} more", head + " ".join(f"other{i:04d}" for i in range(40)), f"alpha beta gamma delta one {tail}", f"epsilon zeta theta kappa one {tail}", "short title", None, f"{head}{tail}\nand a second line"]
+    spark.createDataFrame([(i, x, "s", "en", len(x or "")) for i, x in enumerate(texts)], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    titles = [(x or "").split("\n")[0] for x in texts]
+    plain = [re.sub("[^a-z0-9]+", " ", x.lower()).strip() for x in titles]
+    names = [set(re.findall("[a-z0-9]{4,}", x.lower())) for x in titles]
+    sizes = Counter(w for x in names for w in x)
+    want = {}
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            ratio = difflib.SequenceMatcher(None, plain[a], plain[b]).ratio()
+            if len(names[a] & names[b]) >= 2 and any(sizes[w] <= 50 for w in names[a] & names[b]) and ratio >= 0.85:
+                want[a, b] = (round(ratio, 9), round(len(names[a] & names[b]) / len(names[a] | names[b]), 9))
+    got = {(r.a, r.b): (round(r.title_sim, 9), round(r.author_overlap, 9)) for r in catalog.fuzzy_title_pairs(spark, str(tmp_path)).collect()}
+    assert got == want and (0, 1) in want and (0, 2) not in want and (3, 4) in want
