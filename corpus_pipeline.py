@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm import bpe_codec, language_id, mixing, ngram_join, secret_scan
@@ -46,10 +47,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; those that it doesn't take go."""
-    taken = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("copies > 0")
-    copies = taken.groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
-    met = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    """Repeats each document as often as the mix takes it; those that it doesn't take go.
+
+    Rows meet their copies by a digest of all columns, as ids may be repeated or null.
+    Rows equal in all of them are one, repeated by the sum of their copies.
+    """
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("null"))
+    named = docs.select(*COLUMNS, F.sha2(F.concat(*map(part, COLUMNS)), 256).alias("row_name"))
+    taken = mixing.mix(named, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("row_name",)).where("copies > 0")
+    copies = taken.groupBy(F.col("row_name").alias("taken_name")).agg(F.sum("copies").alias("copies"))
+    single = named.withColumn("nth", F.row_number().over(W.partitionBy("row_name").orderBy("row_name"))).where("nth = 1")
+    met = single.join(copies, F.col("row_name") == F.col("taken_name"))
     return met.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
 
 

@@ -61,8 +61,8 @@ def targets(sizes: DataFrame, *, source_col: str = "source", weights: tuple[floa
     return ranked.withColumn("__at", level).select(source_col, "source_size", F.least(F.col("__cap"), F.coalesce(F.col("__at") * F.col("__w"), F.col("__cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most_epochs: float = 2.0, good: float = 2.0, plain: float = 1.0, bad: float = 0.5, seed: int = 17, slice_rows: int = 4096) -> DataFrame:
-    """The mix: id, size, source_size, target, taken and copies for each row of ``docs``.
+def mix(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most_epochs: float = 2.0, good: float = 2.0, plain: float = 1.0, bad: float = 0.5, seed: int = 17, slice_rows: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The mix: id, size, source_size, target, taken and copies for each row of ``docs``, and its columns ``carry``.
 
     taken is in words, repeats counted: copies times size, copies at most
     ``most_epochs`` rounded up. labels (id, quality 0 or 1) sets quality weights:
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_
     and draw the key of their id. A source of size 0 has target 0 and nothing is taken.
     """
     # sizes are used three times below; the texts are read once
-    rows = written(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size_in_words(F.col(text_col)).alias("size")), "mix-sizes")
+    rows = written(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size_in_words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"__carry_{c}") for c in carry]), "mix-sizes")
     if labels is None:
         weighted = rows.withColumn("__q", F.lit(plain))
     else:
@@ -100,4 +100,4 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_
     half = F.col("__before") + within - F.col("size") / F.lit(2.0)
     copies = F.col("__epochs") + F.when((F.col("__left") > 0) & (half < F.col("__left")), F.lit(1)).otherwise(F.lit(0))
     copies = F.when(F.col("source_size") > 0, F.least(copies, F.lit(int(-(-most_epochs // 1))))).otherwise(F.lit(0)).cast("long")
-    return joined.withColumn("copies", copies).select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return joined.withColumn("copies", copies).select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(f"__carry_{c}").alias(c) for c in carry])
