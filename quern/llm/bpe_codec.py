@@ -22,8 +22,12 @@ from pyspark.sql import types as T
 
 from .common import field, map_texts
 
-#: Words, and segments between spaces, whose ids a worker remembers; beyond them it starts anew.
-REMEMBERED = 300_000
+#: Bytes of words, and of segments between spaces, whose ids a worker remembers; beyond them it starts anew.
+REMEMBERED_BYTES = 40 << 20
+#: Longest word or segment, in characters, that is remembered, and what an entry takes beside its text and ids.
+SHORT, ENTRY_BYTES = 100, 220
+#: Characters that are split into words at a time.
+PIECE_CHARS, TOGETHER_CHARS = 1 << 16, 1 << 19
 #: Trees that are advanced together, few enough to stay in a CPU's cache.
 TOGETHER = 4096
 #: Longest word, in bytes, that is merged beside others of its size.
@@ -231,7 +235,9 @@ class Codec:
         self.split_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.words = regex.compile(PATTERN).findall
         self.unsafe = regex.compile(r" (?:\s|$)").search
+        self.inner_space = regex.compile(r"(?<=\S) (?=\S)").search if not any(" " in x for x in self.added) else lambda text, at: None
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
         top = max(self.bytes)
         self.table = [self.bytes.get(i, b"") for i in range(top + 1)]
 
@@ -246,8 +252,37 @@ class Codec:
                     out[w] = np.array(merge_all([self.byte_ids[b] for b in x], self.ranks), dtype="<i4").tobytes()
         return out
 
+    def pieces(self, text: str) -> list[str]:
+        """A long text cut at single spaces between characters that are no white space, where a word always starts."""
+        out, start = [], 0
+        while len(text) - start > PIECE_CHARS and (found := self.inner_space(text, start + PIECE_CHARS)):
+            out.append(text[start : found.start()])
+            start = found.start()
+        return [*out, text[start:]]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers.
+        """Ids of each text as little-endian 32-bit integers; few pieces of texts are Python objects at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, str]] = []
+        total = 0
+
+        def flush() -> None:
+            for (i, _), ids in zip(waiting, self.encode_pieces([x for _, x in waiting]), strict=True):
+                out[i].append(ids)
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            for piece in self.pieces(text):
+                waiting.append((i, piece))
+                total += len(piece)
+                if total >= TOGETHER_CHARS:
+                    flush()
+                    total = 0
+        flush()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def encode_pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of each piece.
 
         A single space between two characters that are no white space always starts
         a word, so a text is cut there first and its segments are remembered; a text
@@ -287,9 +322,14 @@ class Codec:
                 else:
                     ids += x
             out.append(b"".join(ids))
-        if len(memo) + len(fresh) > REMEMBERED:
+        kept = {p: x for p, x in fresh.items() if len(p) < SHORT}
+        size = sum(ENTRY_BYTES + 4 * len(p) + len(x) for p, x in kept.items())
+        if self.memo_bytes + size > REMEMBERED_BYTES:
             memo.clear()
-        memo.update((p, x) for p, x in fresh.items() if len(p) < 100)
+            self.memo_bytes = 0
+        if size <= REMEMBERED_BYTES:
+            memo.update(kept)
+            self.memo_bytes += size
         return out
 
     def encode(self, text: str) -> bytes:
@@ -311,26 +351,46 @@ def load(path: str) -> Codec:
     return Codec(path)
 
 
+def ids_array(found: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+
+
 def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds ``out``, the array of token ids of each whole text; a null text gives no ids.
 
     keep: the columns to return beside it (all others by default, ``out`` replaced if
     it is there). Strings of added tokens inside a text give their ids. No shuffle:
-    a text is encoded where it was read.
+    a text is encoded where it was read. Repeated rows give equal rows, an empty
+    table an empty one.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
 
+    def make():
+        codec = load(tokenizer)
+        return lambda texts: [ids_array(codec.encode_all(texts))]
+
+    return map_texts(docs, keep, text_col, [field(out, T.ArrayType(T.IntegerType()))], make)
+
+
+def round_trip(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """encode() and decode() in one pass: adds ``out``, the ids of each text, and ``decoded``, the text of those ids.
+
+    Ids are decoded beside their text by the worker that made them, so one worker with
+    one vocabulary serves both. Nulls, empty texts and ``keep`` as in encode().
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (out, decoded)]
+
     def make():
         codec = load(tokenizer)
 
         def apply(texts):
             found = codec.encode_all(texts)
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))]
+            return [ids_array(found), pa.array([codec.decode(np.frombuffer(x, "<i4").tolist()) for x in found], pa.string())]
 
         return apply
 
-    return map_texts(docs, keep, text_col, [field(out, T.ArrayType(T.IntegerType()))], make)
+    return map_texts(docs, keep, text_col, [field(out, T.ArrayType(T.IntegerType())), field(decoded, T.StringType())], make)
 
 
 def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:

@@ -20,14 +20,17 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (as in tests on one machine) a
-    temporary folder is made and set.
+    Only where ``spark.checkpoint.dir`` is unset and the master is local (as in tests
+    on one machine) a temporary folder is made and set; a cluster without the setting
+    is an error, as its executors would write to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context.isDefined():
             return re.sub("^file:/(?=[^/])", "file:///", context.get())
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -69,32 +72,49 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, fields: list[T.Struct
     (null as the empty text) to a list of columns for ``fields``.
     """
     schema = T.StructType([docs.schema[c] for c in keep] + fields)
-    names = [f.name for f in schema]
+    names, own = [f.name for f in schema], fresh(docs, "__text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            for part in slices(batch, "__text"):
-                texts = [x or "" for x in part.column("__text").to_pylist()]
+            for part in slices(batch, own):
+                texts = [x or "" for x in part.column(len(keep)).to_pylist()]
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in apply(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=names)
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(work, schema)
+    return docs.select(*keep, docs[text].alias(own)).mapInArrow(work, schema)
 
 
 class Powers:
-    """Powers of an odd factor and of its inverse modulo 2**64, as many as the longest text so far needs."""
+    """Powers of an odd factor and of its inverse modulo 2**64; at most ``KEPT`` of each outlive a call."""
 
     FACTOR = 0x9E3779B97F4A7C15
+    KEPT = 1 << 21
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 1 << 14)
-            factors = (self.FACTOR, pow(self.FACTOR, -1, 1 << 64))
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(f))])) for f in factors)
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least n powers of the factor, and of its inverse."""
+        if len(self.up) >= n:
+            return self.up, self.down
+        factors = (self.FACTOR, pow(self.FACTOR, -1, 1 << 64))
+        up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 14), np.uint64(f))])) for f in factors)
+        if n <= self.KEPT:
+            self.up, self.down = up, down
+        return up, down
+
+
+#: One table of powers for a worker, whatever operators it serves.
+POWERS = Powers()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name beginning with ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def field(name: str, kind: T.DataType) -> T.StructField:

@@ -21,26 +21,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Powers, field, mix64, slices
+from .common import POWERS, field, mix64, slices
 
 #: Values in a signature.
 SIZE = 128
 #: Documents of neighbouring ids that a task pairs, about.
 BUCKET_ROWS = 2000
 
-POWERS = Powers()
-
 
 def phrase_hashes(text: str, starts: list[int], ends: list[int]) -> np.ndarray:
     """64-bit hashes of text[start:end], by differences of one running sum."""
-    POWERS.upto(len(text) + 1)
+    up, down = POWERS.upto(len(text) + 1)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     codes += np.uint64(1)
-    codes *= POWERS.up[: len(codes)]
+    codes *= up[: len(codes)]
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes, out=sums[1:])
     a, b = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
-    return mix64((sums[b] - sums[a]) * POWERS.down[a] + (b - a).astype(np.uint64))
+    return mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
 
 
 def parse(text: str, seen: set[str], start: int, ends: list[int], stop: int) -> int:

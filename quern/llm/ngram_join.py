@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Powers, field, map_texts, mix64, written
+from .common import POWERS, field, map_texts, mix64, written
 from .components import components
 
 WORDS = 5
@@ -42,7 +42,6 @@ BANDS, ROWS = 24, 4
 VALUES = BANDS * ROWS
 #: MinHash values compared between two looks at the posterior.
 STEP = 16
-POWERS = Powers()
 SPACE = np.isin(np.arange(256), [0, 9, 10, 11, 12, 13, 32])
 _rng = np.random.default_rng(20240501)
 FACTORS = _rng.integers(0, 1 << 32, VALUES, np.uint32) | np.uint32(1)
@@ -58,17 +57,17 @@ def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray,
     """
     joined = "\0".join(x.replace("\0", " ") for x in texts).lower() + "\0"
     data = np.frombuffer(joined.encode("utf-8", "replace"), np.uint8)
-    POWERS.upto(len(data) + 1)
+    up, down = POWERS.upto(len(data) + 1)
     space = SPACE[data]
     inside = ~space
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     codes = data.astype(np.uint64)
     codes += np.uint64(1)
-    codes *= POWERS.up[: len(data)]
+    codes *= up[: len(data)]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(codes, out=sums[1:])
-    words = mix64((sums[ends] - sums[starts]) * POWERS.down[starts] + (ends - starts).astype(np.uint64))
+    words = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     stops = np.flatnonzero(data == 0)
     first = np.searchsorted(starts, np.concatenate([[0], stops[:-1]]) if len(stops) else [])
     last = np.searchsorted(starts, stops)

@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 
 from .common import field, map_texts
 
-#: Segments whose token counts a worker remembers; beyond them it starts anew.
-REMEMBERED = 1_000_000
+#: Bytes of segments whose token counts a worker remembers; beyond them it starts anew.
+REMEMBERED_BYTES = 80 << 20
+#: Longest segment, in characters, that is remembered, and what an entry takes beside its characters.
+SHORT, ENTRY_BYTES = 64, 160
 
 
 class Segmented:
@@ -49,6 +51,7 @@ class Segmented:
             config = json.load(f)
         self.rule = proven_rule(config)
         self.memo: dict[str, int] = {}
+        self.memo_bytes = 0
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         return self.tokenizer.encode(text, add_special_tokens=False).offsets
@@ -89,23 +92,42 @@ class Segmented:
                 out.append(sum(lengths[w] if n is None else n for w, n in zip(words, found, strict=True)))
             else:
                 out.append(sum(found))
-        if len(self.memo) + len(new) > REMEMBERED:
+        kept = {w: n for w, n in lengths.items() if len(w) <= SHORT}
+        size = sum(ENTRY_BYTES + 4 * len(w) for w in kept)
+        if self.memo_bytes + size > REMEMBERED_BYTES:
             self.memo.clear()
-        self.memo.update(lengths)
+            self.memo_bytes = 0
+        if size <= REMEMBERED_BYTES:
+            self.memo.update(kept)
+            self.memo_bytes += size
         return out
 
 
 def proven_rule(config: dict) -> str:
-    """Reads from a tokenizer's configuration which boundaries are stable."""
+    """Reads from a tokenizer's configuration which boundaries are stable; "" unless every part of it is known to leave them so.
+
+    An added token that holds white space, or takes in what is around it, could reach
+    over a boundary, and so could a normaliser that rewrites more than runs of white
+    space into a space, a character into its lower case or its composed form.
+    """
+    if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") or any(c.isspace() for c in x["content"]) for x in config.get("added_tokens") or []):
+        return ""
     pre, norm = config.get("pre_tokenizer") or {}, config.get("normalizer")
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
         return "before"
     steps = pre.get("pretokenizers", [])
-    norms = (norm or {}).get("normalizers", [])
+    norms = (norm or {}).get("normalizers", []) if norm is None or norm.get("type") == "Sequence" else [norm]
     first = steps[0] if steps else {}
-    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "\\s" in str(first.get("pattern"))
-    local = all(x.get("type") in ("NFC", "Lowercase", "Replace") for x in norms)
-    return "after" if drops and local and all(not x.get("add_prefix_space") for x in steps[1:]) else ""
+    # the pattern's alternatives match no white space, so what separates words is white space or nothing
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and matches_no_space((first.get("pattern") or {}).get("Regex", ""))
+    local = all(x.get("type") in ("NFC", "Lowercase") or (x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " ") for x in norms)
+    return "after" if drops and local and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in steps[1:]) else ""
+
+
+def matches_no_space(pattern: str) -> bool:
+    """Whether each alternative of a pattern is plain letters after an apostrophe, or one class of characters that leaves white space out."""
+    known = re.compile(r"'[a-z]+|\[?\\p\{[LN]\}\]?\+?|\[\^\\s\\p\{L\}\\p\{N\}\]\+?")
+    return bool(pattern) and all(known.fullmatch(x) for x in pattern.split("|"))
 
 
 class Pieces:
@@ -188,7 +210,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
     Returns id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), n_chunks
     and n_widened. A null text counts as empty: 0 bytes, 0 tokens. Ids may be null
-    or repeat; each row gives a row. Other columns of ``docs`` are not read. There
+    or repeat; each row gives a row, an empty table none. Other columns of ``docs`` are not read. There
     is no shuffle: a text is counted where it was read.
     """
 
