@@ -63,10 +63,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
-    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe_codec.encode(docs, tokenizer, keep=["doc_id", "lang", "source", "text"])
-    checked = bpe_codec.decode(encoded, tokenizer, keep=["doc_id", "lang", "source", "text", "ids"])
-    return checked.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    done = bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id", "lang", "source", "text"])
+    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [("language_id", languages), ("near_duplicates", near_duplicates), ("secret_scan", secrets), ("mixing", mixture), ("bpe_codec", tokens)]
