@@ -278,7 +278,7 @@ def test_dual_search_prunes():
     centres = rng.normal(size=(40, 32)) * 64
     c = np.floor(np.repeat(centres, 100, 0) + rng.normal(size=(4000, 32)) * 2)
     q = c[::20]
-    best, order, computed = topk_search.dual_search(q, np.stack([np.arange(0, 4000, 20)] * 2, 1), c, np.stack([np.arange(4000)] * 2, 1), 10)
+    best, order, computed = topk_search.dual_search(q, np.arange(0, 4000, 20), np.full(len(q), topk_search.NONE), c, np.arange(4000), np.arange(4000), 10)
     assert computed < 0.5 * len(q) * len(c)
     s = q @ c.T
     s[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
