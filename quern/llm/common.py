@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: UTF-8 bytes of text that a Python worker turns into Python objects at a time; a longer text is a slice of its own.
@@ -130,3 +131,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def in_blocks(items: Column) -> Column:
+    """An array of one or more items cut into blocks of about the root of its size."""
+
+    def cut(p: Column) -> Column:
+        return let(F.ceil(F.sqrt(F.size(p))).cast("int"), lambda b: F.transform(F.sequence(F.lit(0), ((F.size(p) - 1) / b).cast("int")), lambda i: F.slice(p, i * b + 1, b)))
+
+    return let(items, cut)
+
+
+def folded(items: Column, start: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """A fold over an array that gathers what each step adds: a struct of the last ``at`` and ``out``, an array of ``kind``.
+
+    step: (at, item) to the next at and an array of what is added. As an array is copied
+    whenever something is added, the fold goes by blocks of about the root of the
+    array's size, and what is copied grows with the power 1.5 of it, not its square.
+    """
+    none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(state: Column, x: Column) -> Column:
+        at, more = step(state["at"], x)
+        return F.struct(at.alias("at"), F.concat(state["out"], more).alias("out"))
+
+    def block(state: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(state["at"].alias("at"), none.alias("out")), one)
+        return let(inner, lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], F.array(s["out"])).alias("out")))
+
+    whole = lambda p: let(F.aggregate(in_blocks(p), F.struct(start.alias("at"), nones.alias("out")), block), lambda s: F.struct(s["at"].alias("at"), F.flatten(s["out"]).alias("out")))
+    return let(items, lambda p: F.when(F.size(p) > 0, whole(p)).otherwise(F.struct(start.alias("at"), none.alias("out"))))
+
+
+def bounded_sample(docs: DataFrame, id_col: str, text_col: str, bound: int) -> DataFrame:
+    """Column text: the whole texts of at most ``bound`` documents, those of the least hashes of id and text; nulls left out.
+
+    Rows equal in both count once. Only hashes are ranked, and only those below a
+    loose bound that about 1.2 times as many documents pass, so neither the number of
+    rows nor a repeated one makes a task large. The same rows give the same sample.
+    """
+    space = 1 << 40
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(space)).alias("h"))
+    n = docs.where(F.col(text_col).isNotNull()).count()
+    few = rows.where(F.col("h") < int(min(1.0, (1.2 * bound + 20) / max(1, n)) * space))
+    last = few.select("h").distinct().orderBy("h").limit(bound).agg(F.max("h")).first()[0]
+    return few.where(F.col("h") <= F.lit(-1 if last is None else last)).dropDuplicates(["h"]).select("text")

@@ -23,6 +23,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, let
+
 # Short notices and texts of common licences, by their usual identifiers.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -78,11 +80,6 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return max(1, math.ceil(n * low - 1e-9)), math.floor(n / low + 1e-9)
 
 
-def let(x: Column, f) -> Column:
-    """f of x, with x computed once."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
 def best_window(p: Column, hits: Column, grams: list[str], threshold: float) -> Column:
     """(dice, place, least) of the window of bigrams ``p`` that is most like a template, null if none reaches the threshold.
 
@@ -155,11 +152,12 @@ def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, tem
     shortest) and the line where that starts. Lines don't bound windows; a template of one word has none.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("licenses", "notices")]
+    own = fresh(docs, "__text")
     sets = {name: bigrams_of(t) for name, t in sorted((TEMPLATES if templates is None else templates).items())}
     none = F.array().cast("array<struct<license:string,line:int,dice:double>>")
     if not sets:
         return docs.select(*keep, none.alias("licenses"), none.alias("notices"))
-    text = F.coalesce(F.col("__text"), F.lit(""))
+    text = F.coalesce(F.col(own), F.lit(""))
     lines = F.split(text, "\n")
 
     def anchored(t: Column) -> Column:
@@ -196,4 +194,4 @@ def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, tem
         return let(F.filter(let(hits, best), lambda x: x.isNotNull()), lambda x: F.when(F.size(x) > 0, placed(x)).otherwise(none))
 
     runs = let(words(text), lambda w: let(pairs(w), noticed))
-    return docs.select(*keep, F.col(text_col).alias("__text")).select(*keep, F.when(anchored(text), found).otherwise(none).alias("licenses"), F.when(anchored(text), runs).otherwise(none).alias("notices"))
+    return docs.select(*keep, F.col(text_col).alias(own)).select(*keep, F.when(anchored(text), found).otherwise(none).alias("licenses"), F.when(anchored(text), runs).otherwise(none).alias("notices"))

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_sample, folded, fresh, in_blocks, let
+
 # The base patterns, and the least length of what counts (of group 2 for assign).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -31,6 +33,9 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 SAMPLE_TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 
+#: The type of a span.
+SPAN = "struct<start:int,order:int,stop:int>"
+
 #: What takes the place of a secret in a redacted text.
 MARK = "[secret]"
 
@@ -80,14 +85,18 @@ def random_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
 def ordinary_samples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000) -> DataFrame:
     """Labelled ordinary tokens: those of a bounded sample of documents, outside what the patterns find.
 
-    sample_docs bounds the sample: documents of the least hashes of their ids, whole texts.
+    sample_docs bounds the sample, whole texts; see bounded_sample(), which is the same for the same rows.
     """
-    plain = F.regexp_replace(F.regexp_replace(F.col(text_col), ASSIGN, " "), f"{ACCESS}|[0-9a-f]{{{LEAST_HEX},}}", " ")
-    picked = docs.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(sample_docs)
-    return picked.select(F.explode(F.regexp_extract_all(plain, F.lit(SAMPLE_TOKEN), F.lit(0))).alias("text"), F.lit(False).alias("random"))
+    plain = F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), f"{ACCESS}|[0-9a-f]{{{LEAST_HEX},}}", " ")
+    return bounded_sample(docs, id_col, text_col, sample_docs).select(F.explode(F.regexp_extract_all(plain, F.lit(SAMPLE_TOKEN), F.lit(0))).alias("text"), F.lit(False).alias("random"))
 
 
 def default_models(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000) -> Models:
+    """Models of generated random strings and of the ordinary tokens of a bounded sample of ``docs``.
+
+    The same rows give the same models, in whatever order they lie; null texts and ids
+    are allowed, repeated rows count once, and an empty table leaves the ordinary model even.
+    """
     return train(random_samples(docs.sparkSession).unionByName(ordinary_samples(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, sample_docs=sample_docs)))
 
 
@@ -100,16 +109,15 @@ def located(text: Column, pattern: str, kind: int, kept) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if groups else matches
     pieces = F.arrays_zip(F.slice(F.split(text, pattern), F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"), values.alias("value"))
-    none = F.array().cast("array<struct<start:int,order:int,stop:int>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["gap"])
+    def step(at: Column, piece: Column) -> tuple[Column, Column]:
+        start = at + F.length(piece["gap"])
         stop = start + F.length(piece["match"])
         span = F.struct(start.alias("start"), F.lit(kind).alias("order"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(kept(piece["match"], piece["value"]), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        return stop, F.when(kept(piece["match"], piece["value"]), F.array(span)).otherwise(none)
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, step)["spans"]).otherwise(none)
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.when(text.rlike(pattern), folded(pieces, F.lit(0), SPAN, step)["out"]).otherwise(none)
 
 
 def ratio(token: Column, models: Models) -> Column:
@@ -126,10 +134,14 @@ def scan(docs: DataFrame, models: Models, *, text_col: str = "text", least_ratio
 
     order is the kind's place in KINDS. A token of the models is added where its ratio
     is ``least_ratio`` or more and it overlaps no base span. Null and empty texts have
-    no spans. keep: the columns to return beside them (by default all).
+    no spans; texts of any length are scanned whole, in time about proportional to
+    length and matches. Each row gives a row, repeated rows equal ones, an empty table
+    none. keep: the columns to return beside them (by default all; base_spans and
+    all_spans are replaced if they are there, other names may be any).
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("base_spans", "all_spans")]
-    text = F.coalesce(F.col("__text"), F.lit(""))
+    own, judged = fresh(docs, "__text"), fresh(docs, "__tokens")
+    text = F.coalesce(F.col(own), F.lit(""))
     base = F.array_sort(
         F.concat(
             located(text, ASSIGN, 0, lambda m, v: F.length(v) >= LEAST_ASSIGN),
@@ -139,11 +151,18 @@ def scan(docs: DataFrame, models: Models, *, text_col: str = "text", least_ratio
         )
     )
     tokens = located(text, TOKEN, 3, lambda m, v: ratio(m, models) >= least_ratio)
-    found = docs.select(*keep, F.col(text_col).alias("__text")).withColumn("base_spans", base).withColumn("__tokens", tokens)
-    free = F.filter("__tokens", lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    found = docs.select(*keep, F.col(text_col).alias(own)).withColumn("base_spans", base).withColumn(judged, tokens)
+    free = F.when((F.size("base_spans") > 0) & (F.size(judged) > 0), without_overlap(F.col(judged), F.col("base_spans"))).otherwise(F.col(judged))
     return found.select(*keep, "base_spans", F.array_sort(F.concat("base_spans", free)).alias("all_spans"))
 
 
+def without_overlap(tokens: Column, spans: Column) -> Column:
+    """The tokens that overlap none of the spans, which are sorted by start; whole blocks of spans are passed over by where they begin and end."""
+    meets = lambda t, b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])
+    ranges = F.transform(in_blocks(spans), lambda b: F.struct(F.element_at(b, 1)["start"].alias("start"), F.array_max(F.transform(b, lambda s: s["stop"])).alias("stop"), b.alias("spans")))
+    return let(ranges, lambda r: F.filter(tokens, lambda t: ~F.exists(r, lambda b: meets(t, b) & F.exists(b["spans"], lambda s: meets(t, s)))))
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     kinds = F.array(*map(F.lit, KINDS))
@@ -156,17 +175,10 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
     """The text with ``mark`` in place of each stretch that spans cover; overlapping spans are one stretch."""
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-
-    def join(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        meets = (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["stop"] > s["start"])
-        own = F.struct(s["start"].alias("start"), s["stop"].alias("stop"))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
-        return F.when(meets, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(own)))
-
-    stretches = F.aggregate(spans, none, join)
-    stops = F.concat(F.array(F.lit(0)), F.transform(stretches, lambda s: s["stop"]))
-    starts = F.concat(F.transform(stretches, lambda s: s["start"]), F.array(F.length(text)))
-    parts = F.zip_with(stops, starts, lambda a, b: F.substring(text, a + 1, b - a))
-    return F.when(F.size(spans) > 0, F.array_join(parts, mark)).otherwise(text)
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        part = F.substring(text, at + 1, s["start"] - at)
+        return F.greatest(at, s["stop"]), F.when((s["start"] >= at), F.array(part)).otherwise(F.array().cast("array<string>"))
+
+    whole = lambda f: F.concat(F.array_join(f["out"], mark), F.lit(mark), F.substring(text, f["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, let(folded(spans, F.lit(0), "string", step), whole)).otherwise(text)
