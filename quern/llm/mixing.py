@@ -3,8 +3,8 @@
 Each source gets a target in words. Complete epochs of the source come first:
 every document is taken floor(target / source size) times. The rest of the
 target is filled by a weighted sample without replacement: every document draws
-the exponential key -ln(u) / w, w its quality weight and u fixed by its id and
-the seed, and the documents of the least keys are taken until their sizes,
+the exponential key -ln(u) / w, w its quality weight and u fixed by its id, its text
+and the seed, and the documents of the least keys are taken until their sizes,
 summed in that order, come nearest to what is left.
 
 Keys are summed in two levels. A key is mapped to [0, 1) so that the documents
@@ -30,9 +30,14 @@ def size_in_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(id_: Column, seed: int) -> Column:
-    """A number in (0, 1), fixed by the id and the seed: 48 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("null"))))
+def row_digest(id_: Column, text: Column) -> Column:
+    """What a row's key is drawn from: rows share it only if id and text are equal."""
+    return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), F.coalesce(F.md5(text), F.lit("null")))
+
+
+def uniform(row: Column, nth: Column, seed: int) -> Column:
+    """A number in (0, 1), fixed by the row, its number among equal rows and the seed: 48 bits of an MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), row, nth.cast("string")))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
@@ -68,18 +73,22 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_
     ``most_epochs`` rounded up. labels (id, quality 0 or 1) sets quality weights:
     ``good`` for 1, ``bad`` for 0, ``plain`` without a label; of repeated labels the
     highest counts. A null text has size 0 and is taken as often as others; a null
-    source is a source of its own; rows of null or repeated ids are rows of their own
-    and draw the key of their id. A source of size 0 has target 0 and nothing is taken.
+    source is a source of its own; rows of null or repeated ids are rows of their own,
+    and each draws a key of its own, by its text and, where that is equal too, by its
+    number among the equal rows. A source of size 0 has target 0 and nothing is taken.
+    An empty table gives an empty one.
     """
-    # sizes are used three times below; the texts are read once
-    rows = written(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size_in_words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"__carry_{c}") for c in carry]), "mix-sizes")
+    # sizes are used three times below; the texts are read once. Equal rows are counted and told apart by a number
+    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size_in_words(F.col(text_col)).alias("size"), row_digest(F.col(id_col), F.col(text_col)).alias("__row"), *[F.col(c).alias(f"__carry_{c}") for c in carry])
+    counted = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("__equal"))
+    rows = written(counted.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__equal")))).drop("__equal"), "mix-sizes")
     if labels is None:
         weighted = rows.withColumn("__q", F.lit(plain))
     else:
         quality = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__label_id")).agg(F.max("quality").alias("__quality"))
         weighted = rows.join(quality, F.col("__id") == F.col("__label_id"), "left").withColumn("__q", F.when(F.col("__quality") == 1, F.lit(good)).when(F.col("__quality") == 0, F.lit(bad)).otherwise(F.lit(plain)))
     # a key's place in [0, 1): even for the documents of the least weight, denser by good / bad at most for others
-    key = -F.log(uniform(F.col("__id"), seed)) / F.col("__q")
+    key = -F.log(uniform(F.col("__row"), F.col("__nth"), seed)) / F.col("__q")
     keyed = weighted.withColumn("__key", key)
     by_source = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__n"))
     goals = targets(by_source, weights=weights, share=share, most_epochs=most_epochs)
@@ -95,7 +104,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_
     before = F.sum("__sum").over(W.partitionBy("__source").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1))
     starts = totals.select(F.col("__source").alias("__s2"), F.col("__slice").alias("__slice2"), F.coalesce(before, F.lit(0)).alias("__before"))
     joined = placed.join(starts, F.col("__source").eqNullSafe(F.col("__s2")) & (F.col("__slice") == F.col("__slice2")))
-    within = F.sum("size").over(W.partitionBy("__source", "__slice").orderBy("__key", "__id", "size").rowsBetween(W.unboundedPreceding, W.currentRow))
+    within = F.sum("size").over(W.partitionBy("__source", "__slice").orderBy("__key", "__id", "__row", "__nth").rowsBetween(W.unboundedPreceding, W.currentRow))
     # nearest to what is left: a document counts if at least half of it is below
     half = F.col("__before") + within - F.col("size") / F.lit(2.0)
     copies = F.col("__epochs") + F.when((F.col("__left") > 0) & (half < F.col("__left")), F.lit(1)).otherwise(F.lit(0))

@@ -36,7 +36,7 @@ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CAS
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
-    "op10_mixing": """WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
+    "op10_mixing": """WITH d AS (SELECT doc_id, source, coalesce(md5(text), 'null') AS digest, row_number() OVER (PARTITION BY doc_id, source, text) AS nth, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5e0, 2e0, 1e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, source_size * 2e0 AS cap FROM src),
 f AS (SELECT *, sum(source_size) OVER () * 15e-1 AS total, sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS caps, sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
@@ -44,7 +44,7 @@ l AS (SELECT *, (total - coalesce(caps, 0e0)) / rest AS level FROM f),
 lvl AS (SELECT arg_min(level, cap / w) AS level FROM l WHERE level * w <= cap),
 goal AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM lvl) * w, cap)) AS target FROM l),
 q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
-k AS (SELECT d.*, g.source_size, g.target, -ln((('0x' || substr(md5('17:' || d.doc_id), 1, 12))::BIGINT::DOUBLE + 5e-1) / 281474976710656e0) / (CASE quality WHEN 1 THEN 2e0 WHEN 0 THEN 5e-1 ELSE 1e0 END) AS key FROM d JOIN goal g ON g.source IS NOT DISTINCT FROM d.source LEFT JOIN q ON q.doc_id = d.doc_id),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2e0 AS half, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM k)
+k AS (SELECT d.*, g.source_size, g.target, -ln((('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || digest || ':' || nth), 1, 12))::BIGINT::DOUBLE + 5e-1) / 281474976710656e0) / (CASE quality WHEN 1 THEN 2e0 WHEN 0 THEN 5e-1 ELSE 1e0 END) AS key FROM d JOIN goal g ON g.source IS NOT DISTINCT FROM d.source LEFT JOIN q ON q.doc_id = d.doc_id),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, digest, nth ROWS UNBOUNDED PRECEDING) - size / 2e0 AS half, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM k)
 SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN size * least(2, epochs + CASE WHEN greatest(0e0, target - epochs * source_size) > 0 AND half < target - epochs * source_size THEN 1 ELSE 0 END) ELSE 0 END::BIGINT AS taken FROM c""",
 }
