@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, map_texts, mix64, slices
+from .common import field, fresh, map_texts, mix64, slices
 
 UNKNOWN = "und"
 
@@ -128,27 +128,26 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 3000, n: int = 4, hashes: int = 3, bits_each: int = 12, least_count: int = 3, least_ratio: float = 0.25, most_grams: int = 60_000) -> Filters:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 3000, n: int = 4, hashes: int = 3, bits_each: int = 12, least_ratio: float = 0.25) -> Filters:
     """Filters learned from text and lang of rows that aren't held out and have both.
 
     per_language bounds the labelled sample: the documents of a language with the
-    least hash of their id, whole texts. A language holds an n-gram that occurs
-    least_count times or more in its sample with at least least_ratio of its
-    relative frequency in the language where that is highest; most_grams bounds what
-    the driver gets for each language, the most frequent ones.
+    least hash of id and text, whole texts, equal rows once. A language holds each
+    n-gram of its sample that has at least least_ratio of its relative frequency in the
+    language where that is highest. The driver gets the distinct n-grams of the sample.
     """
-    h = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
+    h = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40))
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Filters([])
     # first a share somewhat above the bound, then the bound itself from those few hashes
     loose = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, int(min(1.0, 1.2 * per_language / v + 20 / v) * (1 << 40)))])
     few = rows.where(F.col("h") < loose[F.col("lang")])
-    bound = few.select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("h"))
+    bound = few.select("lang", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("h"))
     exact = F.create_map(*[F.lit(x) for r in bound.collect() for x in (r["lang"], r["h"])])
-    sample = few.where(F.col("h") <= exact[F.col("lang")])
+    sample = few.where(F.col("h") <= exact[F.col("lang")]).dropDuplicates(["lang", "h"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,10 +158,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(found)], names=["lang", "gram", "n"])
 
     gathered = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    share = gathered.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("lang")))
-    best = share.withColumn("most", F.max("p").over(W.partitionBy("gram"))).where((F.col("n") >= least_count) & (F.col("p") >= F.lit(least_ratio) * F.col("most")))
-    chosen = best.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= most_grams)
-    got = chosen.select("lang", "gram").toArrow()
+    total = gathered.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("total"))
+    share = gathered.join(F.broadcast(total), F.col("lang") == F.col("of")).withColumn("p", F.col("n") / F.col("total"))  # a row for each language
+    best = share.withColumn("most", F.max("p").over(W.partitionBy("gram")))
+    got = best.where(F.col("p") >= F.lit(least_ratio) * F.col("most")).select("lang", "gram").toArrow()
     names, keys = np.asarray(got.column("lang").to_pylist(), dtype=object), np.asarray(got.column("gram")).astype(np.uint64)
     languages = sorted(counts, key=lambda x: (-counts[x], x))
     return Filters.build(languages, [keys[names == x] for x in languages], n, hashes, bits_each)
@@ -199,7 +198,16 @@ def predict(docs: DataFrame, filters: Filters, *, text_col: str = "text", keep:
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """id, held_out, lang_pred, score and coverage of each row: learned from the rows not held out, predicted for all."""
+    """id, held_out, lang_pred, score and coverage of each row: learned from the rows not held out, predicted for all.
+
+    A null id is not held out and not learned from. A null text, an empty one and one
+    without a letter are ``und`` with score 0; of languages with equal corrected shares
+    the one with more labelled documents is taken, then the first by name. Repeated rows
+    give equal rows and are learned from once; very long texts are read whole. Where no row has
+    both text and lang every row is ``und``; an empty table gives an empty one. Other
+    columns may have any name, and are never inputs of a prediction.
+    """
     filters = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
-    asked = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__asked"))
-    return predict(asked, filters, text_col="__asked", keep=[id_col, "held_out"])
+    own = fresh(docs.select(id_col).withColumn("held_out", F.lit(True)), "__asked")
+    asked = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias(own))
+    return predict(asked, filters, text_col=own, keep=[id_col, "held_out"])
