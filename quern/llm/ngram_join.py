@@ -13,13 +13,19 @@ The steps, none of which emits the pairs of a group:
 2. Buckets of two or more representatives are compared; a bucket beyond
    ``block_rows`` is cut into blocks, and each pair of blocks is a unit of work. A
    unit returns a spanning forest of the pairs that pass.
-3. The components of those forests hold all pairs that pass. Each component is
-   compared once more, in blocks too, now with the shingle sets: a unit returns,
-   for each text, its number of verified links and an edge of a spanning forest.
+3. The components of those forests hold all pairs that pass. The pairs of a component
+   that share a bucket are compared once more, in blocks too, now with the shingle
+   sets: a unit returns, for each text, its number of verified links and an edge of a
+   spanning forest. A component of more than 24 blocks is dealt by bucket instead, so
+   that chains of many texts are not compared with all of their component; a pair
+   counts in the first band whose bucket it shares.
 4. The components of the verified edges are the classes.
 
-Shingle sets are of 64-bit hashes. With 24 bands of 4 a pair of likeness 0.8 is no
-candidate with probability 3e-6, one of 0.9 with 1e-11.
+Shingle sets are of 64-bit hashes. What is lost: with 24 bands of 4 values a pair of
+likeness 0.8 is no candidate with probability 3.2e-6 (0.9: 1e-11), and the posterior
+drops it with probability 7.1e-5 (tolerance 1e-5, a look every 16 of 96 values; 0.9:
+2.7e-8), both for independent MinHash values, which the linear hashes of this module
+come near to. A lost pair costs a link; its texts stay in one class if others join them.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import POWERS, field, map_texts, mix64, written
+from .common import POWERS, discard, field, fresh, map_texts, mix64, written
 from .components import components
 
 WORDS = 5
@@ -232,7 +238,7 @@ def row_name(id_: Column, text: Column) -> Column:
 
 
 def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, name (a digest of id and text), key, values (16 bits of each MinHash value) and bands of each row; the last three null where a text has no words."""
+    """id, name (a digest of id and text), bytes, key, values (16 bits of each MinHash value) and bands of each row; the last three null where a text has no words."""
 
     def make():
         def apply(texts):
@@ -245,15 +251,21 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return apply
 
-    return map_texts(docs.select(F.col(id_col).alias("id"), row_name(F.col(id_col), F.col(text_col)).alias("name"), F.col(text_col).alias("__t")), ["id", "name"], "__t", [field("key", T.BinaryType()), field("values", T.BinaryType()), field("bands", T.BinaryType())], make)
+    named = docs.select(F.col(id_col).alias("id"), row_name(F.col(id_col), F.col(text_col)).alias("name"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("bytes"), F.col(text_col).alias("__t"))
+    return map_texts(named, ["id", "name", "bytes"], "__t", [field("key", T.BinaryType()), field("values", T.BinaryType()), field("bands", T.BinaryType())], make)
+
+
+def shared_buckets(reps: DataFrame, blocks: Column) -> DataFrame:
+    """bucket, band, of (a key) and blocks for each text and each of its buckets that another text shares; blocks may use n and bytes of a bucket."""
+    in_bands = reps.select("key", "bands", "bytes", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("key", "bytes", "band", F.substring("bands", F.col("band") * 8 + 1, F.lit(8)).alias("bucket"))
+    # partial counts before the shuffle; most buckets have one row and go no further
+    shared = in_bands.groupBy(F.col("bucket").alias("shared")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where("n > 1").select("shared", blocks.alias("blocks"))
+    return in_bands.join(shared, F.col("bucket") == F.col("shared")).select("bucket", "band", F.col("key").alias("of"), "blocks")
 
 
 def candidate_edges(reps: DataFrame, least: list[int], block_rows: int) -> DataFrame:
     """Edges (u, v) of spanning forests of the pairs that share a bucket and pass."""
-    in_bands = reps.select("key", "bands", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("key", F.substring("bands", F.col("band") * 8 + 1, F.lit(8)).alias("bucket"))
-    # partial counts before the shuffle; most buckets have one row and go no further
-    shared = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("bucket", "shared")
-    kept = in_bands.join(shared, F.col("bucket") == F.col("shared")).select("bucket", F.col("key").alias("of"), F.ceil(F.col("n") / F.lit(block_rows)).alias("blocks"))
+    kept = shared_buckets(reps, F.ceil(F.col("n") / F.lit(block_rows)))
     # the MinHash values join late: only for the few rows of shared buckets
     members = kept.join(reps.select("key", "values"), F.col("of") == F.col("key")).select("bucket", "key", "values", "blocks")
     dealt = units(members, "bucket", F.col("blocks"), F.col("key")).select("bucket", "i", "j", "side", "key", "values")
@@ -288,36 +300,46 @@ def candidate_edges(reps: DataFrame, least: list[int], block_rows: int) -> DataF
     return dealt.mapInArrow(work, "u binary, v binary")
 
 
+def matching_bands(bands: np.ndarray, a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Whether the pairs share a bucket; in the bucket of ``band`` whether it is the first that they share."""
+    if band < 0:
+        found = np.zeros(len(a), bool)
+        for k in range(BANDS):
+            found |= bands[a, k] == bands[b, k]
+        return found
+    found = bands[a, band] == bands[b, band]
+    for k in range(band):
+        found &= bands[a, k] != bands[b, k]
+    return found
+
+
 def verified_links(members: DataFrame, threshold: float, least: list[int]) -> DataFrame:
     """For each text of a unit with links: key, text_links, doc_links and anchor, a text of its verified component."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in by_unit(batches, "label"):
-            hashes, owner, found = shingles([x or "" for x in unit.column("text").to_pylist()])
-            # a repeated or null id may have brought other texts of its rows: those of another key, and equal ones, go
-            wanted, rows, seen = unit.column("key").to_pylist(), [], set()
-            for r, key in enumerate(wanted):
-                if key == found[r] and key not in seen:
-                    seen.add(key)
-                    rows.append(r)
-            if len(rows) < 2:
+        for unit in by_unit(batches, "unit"):
+            n = unit.num_rows
+            if n < 2:
                 continue
-            ends = np.searchsorted(owner, np.arange(unit.num_rows + 1))
-            sets = [np.unique(hashes[ends[r] : ends[r + 1]]) for r in rows]
-            keys = [wanted[r] for r in rows]
-            copies = np.asarray(unit.column("copies"))[rows]
-            values, side = matrix(unit.column("values"))[rows], np.asarray(unit.column("side"))[rows]
-            i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
+            hashes, owner, _ = shingles([x or "" for x in unit.column("text").to_pylist()])
+            ends = np.searchsorted(owner, np.arange(n + 1))
+            sets = [np.unique(hashes[ends[r] : ends[r + 1]]) for r in range(n)]
+            keys, copies = unit.column("key").to_pylist(), np.asarray(unit.column("copies"))
+            values, side = matrix(unit.column("values")), np.asarray(unit.column("side"))
+            bands = np.frombuffer(b"".join(unit.column("bands").to_pylist()), "<u8").reshape(-1, BANDS)
+            i, j, band = (unit.column(c)[0].as_py() for c in ("i", "j", "band"))
             size = np.array([len(s) for s in sets])
-            text_links, doc_links = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-            forest, common = Forest(len(rows)), None
+            text_links, doc_links = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            forest, common = Forest(n), None
             for a, b in pair_chunks(side, i, j):
                 # sizes alone bound the likeness
                 fit = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
                 a, b = surviving(values, a[fit], b[fit], least)
+                fit = matching_bands(bands, a, b, band)
+                a, b = a[fit], b[fit]
                 if not len(a):
                     continue
-                if common is None and len(a) > 20 * len(rows):
+                if common is None and len(a) > 20 * n:
                     common = intersections(sets)
                 both = common[a, b] if common is not None else np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
                 true = both >= threshold * (size[a] + size[b] - both) - 1e-9
@@ -326,7 +348,7 @@ def verified_links(members: DataFrame, threshold: float, least: list[int]) -> Da
                 np.add.at(text_links, b, 1)
                 np.add.at(doc_links, a, copies[b])
                 np.add.at(doc_links, b, copies[a])
-                forest.join(*thin(len(rows), a, b))
+                forest.join(*thin(n, a, b))
             linked = np.flatnonzero(text_links).tolist()
             if linked:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[r] for r in linked], pa.binary()), pa.array(text_links[linked]), pa.array(doc_links[linked]), pa.array([keys[forest.root(r)] for r in linked], pa.binary())], names=["key", "text_links", "doc_links", "anchor"])
@@ -352,18 +374,23 @@ def intersections(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def classified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-5, block_rows: int = 512, block_bytes: int = 16 << 20) -> DataFrame:
-    """id, name, class (null without words), class_id, n_links, n_text_links and n_copies of each row, as join() says."""
+def classified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-5, block_rows: int = 512, block_bytes: int = 16 << 20, most_blocks: int = BANDS) -> DataFrame:
+    """id, name, class (null without words), class_id, n_links, n_text_links and n_copies of each row, as join() says; a written table."""
     least = least_matches(threshold, tolerance)
     prepared = written(prepare(docs, id_col, text_col), "join-prepared")
-    grouped = prepared.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), F.first("bands").alias("bands"))
+    grouped = prepared.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep_id"), F.min("name").alias("rep_name"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), F.first("bands").alias("bands"))
     reps = written(grouped, "join-texts")
     labels = components(candidate_edges(reps, least, block_rows), "join-candidates")
-    chosen = reps.select("key", "rep_id", "copies", "values").join(labels, F.col("key") == F.col("node")).select("key", "rep_id", "copies", "values", "label")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    members = chosen.join(texts, F.col("rep_id").eqNullSafe(F.col("id"))).select("label", "key", "copies", "values", "text")
-    sized = chosen.join(texts.select("id", F.octet_length("text").alias("bytes")), F.col("rep_id").eqNullSafe(F.col("id"))).groupBy(F.col("label").alias("of")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)), F.ceil(F.sum("bytes") / F.lit(block_bytes))).alias("blocks"))
-    dealt = units(members.join(sized, F.col("label") == F.col("of")).drop("of"), "label", F.col("blocks"), F.col("key"))
+    # rows of equal name are equal; they become one before the shuffle, and meet only the one text that bears their name
+    texts = docs.select(row_name(F.col(id_col), F.col(text_col)).alias("of_name"), F.col(text_col).alias("text")).groupBy("of_name").agg(F.first("text").alias("text"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(block_rows)), F.ceil(F.col("bytes") / F.lit(block_bytes)))
+    in_components = reps.join(labels, F.col("key") == F.col("node")).drop("node")
+    sized = in_components.groupBy(F.col("label").alias("of_label")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).select("of_label", blocks.alias("blocks"))
+    chosen = written(in_components.join(sized, F.col("label") == F.col("of_label")).drop("of_label"), "join-chosen")
+    small = chosen.where(F.col("blocks") <= most_blocks).select(F.col("label").alias("unit"), F.lit(-1).alias("band"), F.col("key").alias("of"), "blocks")
+    large = shared_buckets(chosen.where(F.col("blocks") > most_blocks), blocks).select(F.col("bucket").alias("unit"), "band", "of", "blocks")
+    members = small.unionByName(large).join(chosen.select("key", "rep_name", "copies", "values", "bands"), F.col("of") == F.col("key")).drop("of")
+    dealt = units(members.join(texts, F.col("rep_name") == F.col("of_name")).drop("of_name", "rep_name"), "unit", F.col("blocks"), F.col("key"))
     links = written(verified_links(dealt, threshold, least), "join-links")
     linked = components(links.select(F.col("key").alias("u"), F.col("anchor").alias("v")), "join-classes").withColumnRenamed("label", "class")
     counts = links.groupBy(F.col("key").alias("k")).agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
@@ -372,7 +399,10 @@ def classified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     texts_out = whole.join(least_ids, F.col("class") == F.col("c")).select(F.col("key").alias("k2"), "class", "class_id", (F.col("copies") - 1 + F.coalesce("doc_links", F.lit(0))).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"), F.col("copies").alias("n_copies"))
     found = prepared.select("id", "name", "key").join(texts_out, F.col("key") == F.col("k2"), "left")
     alone = F.col("key").isNull()
-    return found.select("id", "name", "class", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    out = written(found.select("id", "name", "class", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")), "join-classified")
+    for table in (prepared, reps, labels, chosen, links, linked):
+        discard(table)
+    return out
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -399,5 +429,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(order).alias("first")).select(F.col("first.name").alias("kept"))
     kept = first.unionByName(rows.where(F.col("class").isNull()).select(F.col("name").alias("kept"))).distinct()
     # equal rows lie together after the join, which has dealt the rows by name
-    named = docs.withColumn("__name", row_name(F.col(id_col), F.col(text_col)))
-    return named.join(kept, F.col("__name") == F.col("kept"), "left_semi").dropDuplicates(["__name"]).select(*docs.columns)
+    own, other = fresh(docs, "__name"), fresh(docs, "__kept")
+    named = docs.withColumn(own, row_name(F.col(id_col), F.col(text_col)))
+    return named.join(kept.withColumnRenamed("kept", other), F.col(own) == F.col(other), "left_semi").dropDuplicates([own]).select(*docs.columns)

@@ -134,3 +134,27 @@ def test_clashing_names(spark):
     assert license_scan.scan(docs).where("kept = 'kept' and size(licenses) = 1").count() == 1
     assert language_id.predict(docs, language_id.train(docs)).where("__text = '__text'").count() == 3
     assert language_id.identify(docs).count() == 3
+
+
+def test_chains_are_joined_by_bucket(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    # each text differs from the next in few words, so all hang together and most pairs aren't alike
+    texts, now = [], [rng.choice(words) for _ in range(120)]
+    for _ in range(150):
+        now = [rng.choice(words) if rng.random() < 0.015 else w for w in now]
+        texts.append(" ".join(now))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200, texts[0]), (201, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    want = {i: sum(len(a & b) >= 0.8 * len(a | b) for k, b in sets.items() if k != i) for i, a in sets.items()}
+    by_component = {r.doc_id: r for r in ngram_join.join(docs, block_rows=16, most_blocks=100).collect()}
+    by_bucket = {r.doc_id: r for r in ngram_join.join(docs, block_rows=16, most_blocks=1).collect()}
+    assert by_component == by_bucket
+    assert {i: r.n_links for i, r in by_bucket.items()} == want and sum(want.values()) > 300
+
+
+def test_many_rows_without_ids(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(7).cast("long")).alias("doc_id"), F.concat(F.lit("a b c d e f g "), (F.col("id") % 5000).cast("string")).alias("text"))
+    got = ngram_join.join(rows).groupBy("n_copies", "n_text_links").count().collect()
+    assert [tuple(r) for r in got] == [(4, 0, 20_000)]
