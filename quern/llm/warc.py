@@ -26,9 +26,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, shared_dir, slices
+from .common import field, shared_dir, slices, written
 
 READ_BYTES = 1 << 16
+#: Pages have no date of their own, so all records bear this one.
+DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -47,19 +49,34 @@ def record(header: list[tuple[str, str]], block: bytes) -> bytes:
     return deflate.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + deflate.flush()
 
 
-def page_record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def address(url: str | None) -> str:
+    """A line break in an address would end the header's line, so such are percent-encoded."""
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def info_record(name: str) -> bytes:
+    """What an archive begins with."""
+    block = b"software: quern\r\nformat: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
+    return record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], block)
+
+
+def page_record(page_id, url: str | None, payload: bytes, refers_to=None, *, name: str | None = None, refers_name: str | None = None, refers_url: str | None = None) -> bytes:
     """The response record of a page, or its revisit record if it refers to another page.
 
-    A line break in an address would end the header's line, so such are percent-encoded;
-    a missing id is an empty one.
+    name and refers_name are what the ids of the two records are made from (by default
+    page id and address); a missing page id is an empty one.
     """
-    address = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    name = "" if page_id is None else page_id
-    header = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {address}')}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", address), ("X-Page-ID", str(name)), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+    page = "" if page_id is None else page_id
+    header = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(name or f"{page} {address(url)}")), ("WARC-Date", DATE), ("WARC-Target-URI", address(url)), ("X-Page-ID", str(page)), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
     if refers_to is None:
         return record(header, http + payload)
-    return record([*header, ("WARC-Profile", REVISIT), ("X-Refers-To-Page-ID", str(refers_to))], http)
+    refers = [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers_name or f"{refers_to} {address(refers_url)}")), ("WARC-Refers-To-Target-URI", address(refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", str(refers_to))]
+    return record([*header, *refers], http)
 
 
 def members(stream, read_bytes: int = READ_BYTES) -> Iterator[Iterator[bytes]]:
@@ -125,7 +142,7 @@ def payload_of(header: dict[str, str], block: bytes, verify: bool = True) -> tup
 
 
 def mark_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """id, url, payload and refers_to (null for a response) of each page.
+    """id, url, payload, whether it is a revisit, and what it refers to (id, address and record; null for a response) of each page.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, that of the
     smallest id (null last; of one id the first by address, of equal rows one) is the
@@ -140,11 +157,13 @@ def mark_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     named = rows.where(F.octet_length("__payload") >= least_bytes).groupBy("__name").agg(F.first("__sha").alias("sha"), F.first("__page").alias("page"), F.first("__url").alias("url"), F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("page").isNull().alias("missing"), F.col("page").alias("page"), F.col("url").alias("url"), F.col("__name").alias("name"))
     first = named.groupBy(F.col("sha").alias("of")).agg(F.min(order).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
-    shared = named.join(first, F.col("sha") == F.col("of")).select(F.col("__name").alias("__name2"), (F.col("first.name") == F.col("__name")).alias("__is_first"), F.col("first.page").alias("__first_page"))
+    first = written(first, "warc-responses")
+    shared = named.join(first, F.col("sha") == F.col("of")).select(F.col("__name").alias("__name2"), (F.col("first.name") == F.col("__name")).alias("__is_first"), F.col("first.page").alias("__first_page"), F.col("first.name").alias("__first_name"), F.col("first.url").alias("__first_url"))
     found = rows.drop("__sha").join(shared, F.col("__name") == F.col("__name2"), "left")
     number = F.row_number().over(W.partitionBy("__name").orderBy("__page"))
-    revisit = F.coalesce(~F.col("__is_first") | (number > 1), F.lit(False))
-    return found.withColumn("__revisit", revisit).select("__page", "__url", "__payload", "__revisit", F.when(F.col("__revisit"), F.col("__first_page")).alias("__refers"))
+    found = found.withColumn("__number", number).withColumn("__revisit", F.coalesce(F.col("__is_first").isNotNull() & (~F.col("__is_first") | (F.col("__number") > 1)), F.lit(False)))
+    of_revisit = lambda c: F.when(F.col("__revisit"), c)
+    return found.select("__page", "__url", "__payload", "__revisit", F.concat_ws("-", "__name", "__number").alias("__record"), of_revisit(F.col("__first_page")).alias("__refers"), of_revisit(F.concat(F.col("__first_name"), F.lit("-1"))).alias("__refers_record"), of_revisit(F.col("__first_url")).alias("__refers_url"))
 
 
 def write(marked: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> DataFrame:
@@ -175,11 +194,12 @@ def write(marked: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> Dat
 
         for batch in batches:
             for rows in slices(batch, "__payload"):
-                for page, url, payload, revisit, refers in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                for page, url, payload, revisit, name, refers, refers_name, refers_url in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                     if out is None:
                         temporary = posixpath.join(root, f".{part:06d}-{number:04d}-{attempt}")
                         out = store.open_output_stream(temporary, compression=None)
-                    out.write(page_record(page, url, payload, ("" if refers is None else refers) if revisit else None))
+                        out.write(info_record(f"part-{part:06d}-{number:04d}.warc.gz"))
+                    out.write(page_record(page, url, payload, ("" if refers is None else refers) if revisit else None, name=name, refers_name=refers_name, refers_url=refers_url))
                     records += 1
                     if out.tell() >= archive_bytes:
                         close()
@@ -193,18 +213,19 @@ def write(marked: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> Dat
 def read(archives: DataFrame, *, id_type: T.DataType | None = None, with_payload: bool = False, tasks: int | None = None) -> DataFrame:
     """Reads the archives of a table with a ``path`` column, one after the other in each task.
 
-    Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to and,
-    if asked for, payload. A broken record fails the job.
+    Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to,
+    record_id, refers_to_record and, if asked for, payload. Records of other kinds
+    (warcinfo and the like) are read and left out. A broken record fails the job.
     """
     spark = archives.sparkSession
     id_type = id_type or T.LongType()
-    schema = T.StructType([field("page_id", T.StringType()), field("url", T.StringType()), field("payload_bytes", T.LongType()), field("payload_digest", T.StringType()), field("record_type", T.StringType()), field("refers_to", T.StringType())] + [field("payload", T.BinaryType())] * with_payload)
+    schema = T.StructType([field("page_id", T.StringType()), field("url", T.StringType()), field("payload_bytes", T.LongType()), field("payload_digest", T.StringType()), field("record_type", T.StringType()), field("refers_to", T.StringType()), field("record_id", T.StringType()), field("refers_to_record", T.StringType())] + [field("payload", T.BinaryType())] * with_payload)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+            kinds = [pa.string(), pa.string(), pa.int64(), *[pa.string()] * 5, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(schema))], names=schema.names)
 
         for batch in batches:
@@ -213,9 +234,11 @@ def read(archives: DataFrame, *, id_type: T.DataType | None = None, with_payload
                 rows, size = [], 0
                 with store.open_input_stream(at, compression=None) as stream:
                     for header, block in read_records(stream):
+                        if header.get("warc-type") not in ("response", "revisit"):
+                            continue
                         n, sha, payload = payload_of(header, block)
-                        rows.append((header["x-page-id"] or None, header.get("warc-target-uri"), n, sha, header["warc-type"], header.get("x-refers-to-page-id") or None) + ((payload,) if with_payload else ()))
-                        size += len(block) if with_payload else 300
+                        rows.append((header.get("x-page-id") or None, header.get("warc-target-uri"), n, sha, header["warc-type"], header.get("x-refers-to-page-id") or None, header.get("warc-record-id"), header.get("warc-refers-to")) + ((payload,) if with_payload else ()))
+                        size += len(block) if with_payload else 500
                         if size > 4 << 20:
                             yield emit(rows)
                             rows, size = [], 0
@@ -227,12 +250,32 @@ def read(archives: DataFrame, *, id_type: T.DataType | None = None, with_payload
     return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
+def verify_revisits(found: DataFrame) -> None:
+    """Raises BadRecord unless each revisit names a record that was read as a response, with the same digest and number of bytes.
+
+    Revisits are grouped with their response by its record id, with partial sums, so a
+    payload that very many pages share is no large task.
+    """
+    response = F.col("record_type") == "response"
+    told = F.struct("payload_digest", "payload_bytes")
+    groups = found.groupBy(F.when(response, F.col("record_id")).otherwise(F.col("refers_to_record")).alias("of")).agg(F.count_if(response).alias("responses"), F.min(told).alias("low"), F.max(told).alias("high"))
+    bad = groups.where((F.col("responses") != 1) | (F.col("low") != F.col("high"))).agg(F.count(F.lit(1)).alias("n"), F.min("of").alias("of")).first()
+    if bad.n:
+        raise BadRecord(f"{bad.n} revisited records differ from what their revisits say or aren't there, {bad.of} among them")
+
+
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, folder: str | None = None, with_payload: bool = False) -> DataFrame:
-    """Writes a record for each page and reads the archives back.
+    """Writes a record for each page, reads the archives back and verifies digests and revisits.
 
-    A null html is the empty payload, a null url the empty address; null and repeated
-    ids keep their rows. An empty table gives no archive and no rows.
+    The archives are written once, before this returns, whatever is done with the
+    result; they stay in ``folder``. A null html is the empty payload, a null url the
+    empty address; null and repeated ids keep their rows. An empty table gives no
+    archive and no rows. Other columns are not read and may have any name.
     """
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    archives = write(mark_revisits(pages, id_col=id_col, url_col=url_col, html_col=html_col, least_bytes=least_bytes), folder)
-    return read(archives, id_type=pages.schema[id_col].dataType, with_payload=with_payload).withColumnRenamed("page_id", id_col)
+    archives = written(write(mark_revisits(pages, id_col=id_col, url_col=url_col, html_col=html_col, least_bytes=least_bytes), folder), "warc-archives")
+    found = read(archives, id_type=pages.schema[id_col].dataType, with_payload=with_payload)
+    if not with_payload:
+        found = written(found, "warc-records")
+    verify_revisits(found)
+    return found.withColumnRenamed("page_id", id_col)
