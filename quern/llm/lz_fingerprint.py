@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import POWERS, field, mix64, slices
+from .common import POWERS, discard, field, mix64, slices, written
 
 #: Values in a signature.
 SIZE = 128
-#: Documents of neighbouring ids that a task pairs, about.
-BUCKET_ROWS = 2000
+#: Ranges of neighbouring ids for each shuffle partition, so that partitions come out even.
+RANGES = 4
 
 
 def phrase_hashes(text: str, starts: list[int], ends: list[int]) -> np.ndarray:
@@ -124,56 +124,57 @@ def both_fingerprints(text: str, after: str, size: int = SIZE) -> tuple[np.ndarr
     return own, edited, theirs
 
 
-def in_bucket(id_: Column, splits: list) -> Column:
-    """Number of the bucket of an id, falling: how many of the rising ``splits`` are above it; nulls come last."""
-    if not splits:
-        return F.when(id_.isNull(), F.lit(1)).otherwise(F.lit(0))
-    known = F.split(F.lit(",".join(map(str, splits))), ",").cast("array<long>")  # folded into one literal
-    steps = F.sequence(F.lit(1), F.lit(len(splits).bit_length()))
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(splits)).alias("high"))
+def range_bounds(rows: DataFrame, ranges: int) -> list[tuple[int, int, int]]:
+    """The least key (missing, falling, digest) of each of at most ``ranges`` ranges of about equal size, rising.
+
+    Spark's own range partitioning cuts the keys, so the driver holds one key for each range.
+    """
+    keys = written(rows.select("missing", "falling", "digest"), "lz-keys")
+    cut = keys.repartitionByRange(ranges, "missing", "falling", "digest").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("missing", "falling", "digest")).alias("first"))
+    found = sorted(tuple(r["first"]) for r in cut.select("first").collect())
+    discard(keys)
+    return found
+
+
+def in_range(bounds: list[tuple[int, int, int]]) -> tuple[Column, Column]:
+    """Number of the range of a row's key, from 0, and whether the key is the first of its range."""
+    parts = [F.split(F.lit(",".join(str(b[i]) for b in bounds)), ",").cast("array<long>") for i in range(3)]  # each folded into one literal
+    at = lambda i: F.struct(*[F.element_at(p, i + 1).alias(n) for p, n in zip(parts, ("m", "f", "d"), strict=True)])
+    key = F.struct(F.col("missing").alias("m"), F.col("falling").alias("f"), F.col("digest").alias("d"))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
 
     def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        above = F.element_at(known, F.least(middle, F.lit(len(splits) - 1)) + 1) > id_
-        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(above, s["low"]).otherwise(middle + 1).alias("low"), F.when(above, middle).otherwise(s["high"]).alias("high")))
+        middle = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        below = at(middle) <= key
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(below, middle).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(middle - 1).alias("high")))
 
-    at = F.aggregate(steps, start, halve)["low"]
-    return F.when(id_.isNull(), F.lit(len(splits) + 1)).otherwise(F.lit(len(splits)) - at)
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds) - 1).alias("high")), halve)["low"], at(F.col("range")) == key
 
 
-def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, and the likenesses.
 
     Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited
     and near_next. The next document is the next one by falling id (integer ids; of
-    repeated ids by text, null ids last), after the last the first; a single
-    document is its own next. A null text is empty; empty texts have the empty
-    fingerprint, likeness 1 to one another and 0 to others.
-
-    Ids are cut into ranges at quantiles. The texts are shuffled once, by range;
-    the first document of a range also goes to the range before, as the next of its
-    last one, so no task needs more than its range.
+    repeated ids by a hash of the text, null ids last), after the last the first; a
+    single document is its own next. A null text is empty; empty texts have the empty
+    fingerprint, likeness 1 to one another and 0 to others. An empty table gives none.
+
+    Rows are cut into ranges of id and hash (``ranges``; by default four for each
+    shuffle partition, however many rows there are), so one id that many rows bear is
+    cut too; only rows equal in id and text stay together. The texts are shuffled
+    once, by range; the first of a range also goes to the range before, as the next of
+    its last one. A task streams its ranges and holds few texts at a time.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = rows.count()
-    buckets = max(1, -(-n // bucket_rows))
-    splits = []
-    if buckets > 1:
-        found = rows.agg(F.percentile_approx(F.col("id").cast("long"), [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]
-        splits = sorted(set(found or []))
-    rows = rows.withColumn("bucket", in_bucket(F.col("id").cast("long"), splits))
-    firsts = dict(rows.groupBy("bucket").agg(F.max("id").alias("first")).select("bucket", "first").collect())
-    there = sorted(firsts)
-    before = {b: there[i - 1] for i, b in enumerate(there)}
-    last = len(splits) + 1
-    first_ids = F.split(F.lit(",".join(str(firsts[b]) if firsts.get(b) is not None else "" for b in range(last + 1))), ",")
-    earlier = F.split(F.lit(",".join(str(before.get(b, 0)) for b in range(last + 1))), ",")
-    at = F.col("bucket") + 1
-    is_first = F.coalesce(F.col("id").cast("string"), F.lit("")) == F.element_at(first_ids, at)
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("halo"))
-    halo = F.struct(F.element_at(earlier, at).cast("int").alias("bucket"), F.lit(True).alias("halo"))
-    dealt = rows.select("id", "text", F.explode(F.when(is_first, F.array(own, halo)).otherwise(F.array(own))).alias("to")).select("to.bucket", "to.halo", "id", "text")
-    dealt = dealt.repartition("bucket").sortWithinPartitions(F.col("bucket"), F.col("halo"), F.col("id").desc_nulls_last(), F.col("text"))
+    rows = rows.withColumns({"missing": F.col("id").isNull().cast("long"), "falling": F.coalesce(F.bitwise_not(F.col("id").cast("long")), F.lit(0)), "digest": F.xxhash64("text")})
+    bounds = range_bounds(rows, ranges or RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) or [(0, 0, 0)]
+    number, is_first = in_range(bounds)
+    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("halo"))
+    halo = F.struct(F.pmod(F.col("range") - 1, F.lit(len(bounds))).alias("range"), F.lit(True).alias("halo"))
+    order = ["missing", "falling", "digest"]
+    dealt = rows.withColumn("range", number).select("id", "text", *order, F.explode(F.when(is_first, F.array(own, halo)).otherwise(F.array(own))).alias("to")).select("to.range", "to.halo", "id", "text", *order)
+    dealt = dealt.repartition("range").sortWithinPartitions("range", "halo", *order, "text").select("halo", "id", "text")
     schema = T.StructType([field(id_col, docs.schema[id_col].dataType), field("n_chars", T.LongType()), field("edited_sha256", T.StringType()), field("fingerprint", T.StringType()), field("edited_fingerprint", T.StringType()), field("near_edited", T.DoubleType()), field("near_next", T.DoubleType())])
     id_arrow = rows.select("id").schema
 

@@ -106,10 +106,10 @@ def test_likeness_is_jaccard_of_small_sets():
     assert lz_fingerprint.likeness(lz_fingerprint.fingerprint(a), lz_fingerprint.fingerprint(b)) == pytest.approx(len(x & y) / len(x | y))
 
 
-@pytest.mark.parametrize("bucket_rows", [1, 3, 1000])
-def test_next_document(spark, bucket_rows):
+@pytest.mark.parametrize("ranges", [1, 5, 100, None])
+def test_next_document(spark, ranges):
     rows = [*ODD[:4], *[(i * 7 % 50 - 10, f"text number {i} " * (i % 9)) for i in range(25)]]
-    out = {r.doc_id: r for r in lz_fingerprint.compare_with_next(docs_of(spark, rows), bucket_rows=bucket_rows).collect()}
+    out = {r.doc_id: r for r in lz_fingerprint.compare_with_next(docs_of(spark, rows), ranges=ranges).collect()}
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     seen = {}
     for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
@@ -202,6 +202,24 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_revisits_are_verified(spark, tmp_path):
+    name = "1 http://x/"
+    info = warc.info_record("a")
+
+    def found(*records):
+        path = tmp_path / "b.warc.gz"
+        path.write_bytes(info + b"".join(records))
+        return warc.read(spark.createDataFrame([(path.as_uri(),)], "path string"))
+
+    response = warc.page_record(1, "http://x/", b"same", name=name)
+    good = found(response, warc.page_record(2, "http://y/", b"same", 1, refers_name=name, refers_url="http://x/"))
+    assert {(r.page_id, r.record_type, r.refers_to) for r in good.collect()} == {(1, "response", None), (2, "revisit", 1)}
+    warc.verify_revisits(good)
+    for bad in (warc.page_record(2, "http://y/", b"other", 1, refers_name=name), warc.page_record(2, "http://y/", b"same", 1, refers_name="elsewhere")):
+        with pytest.raises(warc.BadRecord):
+            warc.verify_revisits(found(response, bad))
+
+
 # secret scans
 
 BASE = [("assign", secret_scan.ASSIGN.replace("(?i:", "(?ai:"), 2, 6), ("access", secret_scan.ACCESS, 0, 20), ("hex", secret_scan.HEX, 0, 24)]
