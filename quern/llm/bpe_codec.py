@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import field, map_texts
 
 #: Bytes of words, and of segments between spaces, whose ids a worker remembers; beyond them it starts anew.
-REMEMBERED_BYTES = 40 << 20
+REMEMBERED_BYTES = 24 << 20
 #: Longest word or segment, in characters, that is remembered, and what an entry takes beside its text and ids.
 SHORT, ENTRY_BYTES = 100, 220
 #: Characters that are split into words at a time.
@@ -373,24 +373,32 @@ def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out: str
     return map_texts(docs, keep, text_col, [field(out, T.ArrayType(T.IntegerType()))], make)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """encode() and decode() in one pass: adds ``out``, the ids of each text, and ``decoded``, the text of those ids.
+def round_trip(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out: str = "ids", decoded: str | None = "decoded", same: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """encode() and decode() in one pass: adds ``out``, the ids of each text, ``decoded``, the text of those ids, and ``same``, whether that is the text (null: the empty one).
 
     Ids are decoded beside their text by the worker that made them, so one worker with
-    one vocabulary serves both. Nulls, empty texts and ``keep`` as in encode().
+    one vocabulary serves both; with ``decoded`` None the decoded text doesn't leave it,
+    with ``same`` None nothing is compared. Nulls, empty texts and ``keep`` as in encode().
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (out, decoded)]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (out, decoded, same)]
+    fields = [field(out, T.ArrayType(T.IntegerType()))]
+    fields += [field(decoded, T.StringType())] if decoded else []
+    fields += [field(same, T.BooleanType())] if same else []
 
     def make():
         codec = load(tokenizer)
 
         def apply(texts):
             found = codec.encode_all(texts)
-            return [ids_array(found), pa.array([codec.decode(np.frombuffer(x, "<i4").tolist()) for x in found], pa.string())]
+            back = [codec.decode(np.frombuffer(x, "<i4").tolist()) for x in found]
+            made = [ids_array(found)]
+            made += [pa.array(back, pa.string())] if decoded else []
+            made += [pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_())] if same else []
+            return made
 
         return apply
 
-    return map_texts(docs, keep, text_col, [field(out, T.ArrayType(T.IntegerType())), field(decoded, T.StringType())], make)
+    return map_texts(docs, keep, text_col, fields, make)
 
 
 def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -74,16 +75,27 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, fields: list[T.Struct
     """
     schema = T.StructType([docs.schema[c] for c in keep] + fields)
     names, own = [f.name for f in schema], fresh(docs, "__text")
+    at = keep.index(text) if text in keep else len(keep)  # a text that is kept isn't sent twice
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            for part in slices(batch, own):
-                texts = [x or "" for x in part.column(len(keep)).to_pylist()]
+            for part in slices(batch, batch.schema.names[at]):
+                texts = [x or "" for x in part.column(at).to_pylist()]
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in apply(texts)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=names)
+        del apply
+        give_back()
 
-    return docs.select(*keep, docs[text].alias(own)).mapInArrow(work, schema)
+    return docs.select(*keep, *([] if text in keep else [docs[text].alias(own)])).mapInArrow(work, schema)
+
+
+def give_back() -> None:
+    """Returns what a worker has freed to the system, as workers live on between tasks and share an executor's memory."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class Powers:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Words are what is no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,4 +109,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_
     half = F.col("__before") + within - F.col("size") / F.lit(2.0)
     copies = F.col("__epochs") + F.when((F.col("__left") > 0) & (half < F.col("__left")), F.lit(1)).otherwise(F.lit(0))
     copies = F.when(F.col("source_size") > 0, F.least(copies, F.lit(int(-(-most_epochs // 1))))).otherwise(F.lit(0)).cast("long")
-    return joined.withColumn("copies", copies).select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(f"__carry_{c}").alias(c) for c in carry])
+    out = joined.withColumn("copies", copies).select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(f"__carry_{c}").alias(c) for c in carry])
+    out = written(out, "mix")
+    discard(rows)
+    return out
