@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm import bpe_codec, language_id, mixing, ngram_join, secret_scan
-from quern.llm.common import written
+from quern.llm.common import discard, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,8 +63,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
-    done = bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id", "lang", "source", "text"])
-    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    done = bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id", "lang", "source"], decoded=None, same="round_trip")
+    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("language_id", languages), ("near_duplicates", near_duplicates), ("secret_scan", secrets), ("mixing", mixture), ("bpe_codec", tokens)]
@@ -74,8 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written to the shared folder and read again."""
+    """Applies the stages to documents, each written to the shared folder and read again; the last but one stays there, as the result is read from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
