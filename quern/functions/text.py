@@ -36,8 +36,8 @@ def title_key(x: Column) -> Column:
 
 
 def title_words(x: Column) -> Column:
-    """Lower-case words of letters and digits with single spaces: what title likeness is measured on."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(or_blank(x)), "[^a-z0-9\\s]+", " "), SPACE, " "))
+    """Lower-case words of letters and digits with single spaces, other characters left out: what title likeness is measured on."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(or_blank(x)), "[^a-z0-9 ]", ""), " +", " "))
 
 
 def significant_words(x: Column) -> Column:
@@ -115,9 +115,15 @@ def cited_numbers(answer: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(or_blank(answer), F.lit(CITATION), F.lit(1)), lambda n: n.cast("int"))))
 
 
+def title_case(x: Column) -> Column:
+    """Each run of letters begins with a capital, also after a hyphen, a digit or an apostrophe; its other letters are small."""
+    runs = F.regexp_extract_all(or_blank(x), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))), "")
+
+
 def title_case_heading(x: Column) -> Column:
-    """A heading without its leading number, words capitalised."""
-    return F.initcap(F.trim(F.regexp_replace(or_blank(x), "^[0-9.]+\\s*", "")))
+    """A heading without its leading number, in title case."""
+    return title_case(F.trim(F.regexp_replace(or_blank(x), "^[0-9.]+\\s*", "")))
 
 
 def first_line(x: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
+from ..sources import records
 
 # Which source's copy is preferred.
 SOURCE_PRIORITY = {"acl_anthology": 0, "arxiv": 1, "semantic_scholar": 2}
@@ -32,11 +33,11 @@ def merge_first_wins(rows: DataFrame, key: str, order: str, columns: list[str],
 def link_groups(rows: DataFrame, title: Column, order: str) -> DataFrame:
     """Adds group_id (grp0001 ... by first appearance, '' if alone): rows whose titles are equal in letters and digits.
 
-    Titles without any stay alone. Rows stay separate; only groups, not rows, are numbered in one place.
+    Titles without any stay alone. Rows stay separate; groups are numbered by ranges of their first rows.
     """
     keyed = rows.withColumn("__key", t.title_key(title))
     groups = keyed.where("__key <> ''").groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first")).where("__n > 1")
-    numbered = groups.select(F.col("__key").alias("__k"), F.format_string("grp%04d", F.row_number().over(W.orderBy("__first", "__key"))).alias("group_id"))
+    numbered = records.numbered(groups, ["__first", "__key"], "__number").select(F.col("__key").alias("__k"), F.format_string("grp%04d", "__number").alias("group_id"))
     return keyed.join(numbered, F.col("__key") == F.col("__k"), "left").withColumn("group_id", F.coalesce("group_id", F.lit(""))).drop("__key", "__k")
 
 
@@ -62,10 +63,26 @@ def group_breakdown(rows: DataFrame, group: str, source: str, work: str) -> Data
     return per_group.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("rows").alias("n_rows"))
 
 
-@F.pandas_udf(T.DoubleType())
-def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp likeness, which depends on the order of its arguments."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+def title_likeness(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratcliff-Obershelp likeness, which depends on the order of its arguments; null where it is below ``least``.
+
+    The common characters bound it from above, so most pairs that are not alike cost
+    no comparison of strings.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        out, matcher, before = [], difflib.SequenceMatcher(None, "", ""), None
+        for one, two in zip(x, y, strict=True):
+            if two != before:  # the second is what the matcher prepares
+                matcher.set_seq2(two or "")
+                before = two
+            matcher.set_seq1(one or "")
+            found = matcher.ratio() if matcher.quick_ratio() >= least else 0.0
+            out.append(found if found >= least else None)
+        return pd.Series(out, dtype="float64")
+
+    return ratio(a, b)
 
 
 def blocked_pairs(rows: DataFrame, id_col: str, blocks: Column, max_block: int | None = None) -> DataFrame:
@@ -83,35 +100,87 @@ def blocked_pairs(rows: DataFrame, id_col: str, blocks: Column, max_block: int |
     return left.join(right, "block").where("a < b").select("a", "b").distinct()
 
 
-def fuzzy_title_pairs(rows: DataFrame, *, id_col: str, title_col: str, authors_col: str, year_col: str | None = None, least: float = 0.85, strong_authors: int = 2, max_block: int = 50, max_years: int = 2) -> DataFrame:
-    """Pairs of rows that are likely the same work: shared surnames, near titles, near years.
+def candidate_pairs(rows: DataFrame, *, id_col: str, title_col: str, authors_col: str, least: float, max_block: int | None, extra: dict[str, str] | None = None) -> DataFrame:
+    """Pairs a < b in blocks of a shared surname whose titles' lengths allow a likeness of ``least``: a, b, their titles and surnames, and the ``extra`` columns (name: expression) of both.
 
-    The bound 2 min / (sum of lengths) on the likeness is a native filter before the
-    Python function, so few pairs reach it. Lengths and years are compared first, so
-    only pairs near in both are joined with titles and names.
+    The bound 2 min / (sum of lengths) is a native filter before any title is joined.
     """
-    keyed = rows.select(F.col(id_col).alias("id"), t.title_words(F.col(title_col)).alias("title"), t.surnames(F.col(authors_col)).alias("names"), (F.col(year_col).cast("string") if year_col else F.lit("")).alias("year"))
-    keyed = keyed.where(~F.startswith("title", F.lit("proceedings of")))
+    keyed = rows.select(F.col(id_col).alias("id"), t.title_words(F.col(title_col)).alias("title"), t.surnames(F.col(authors_col)).alias("names"), *[F.expr(e).alias(c) for c, e in (extra or {}).items()])
     pairs = blocked_pairs(keyed, "id", F.col("names"), max_block)
-    small = keyed.select("id", F.length("title").alias("length"), "year")
+    small = keyed.select("id", F.length("title").alias("length"))
     side = lambda rows, x: rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns])
     both = lambda pairs, rows: pairs.join(side(rows, "a"), F.col("a") == F.col("id_a")).join(side(rows, "b"), F.col("b") == F.col("id_b"))
-    gap = F.coalesce(F.abs(F.try_to_number("year_a", F.lit("9999")) - F.try_to_number("year_b", F.lit("9999"))), F.lit(0))
     la, lb = F.col("length_a"), F.col("length_b")
-    close = both(pairs, small).where((gap <= max_years) & (F.lit(2.0) * F.least(la, lb) >= F.lit(least) * (la + lb))).select("a", "b")
-    near = both(close, keyed.drop("year")).where(F.size(F.array_intersect("names_a", "names_b")) >= strong_authors)
-    scored = near.withColumn("title_sim", title_ratio("title_a", "title_b")).where(F.col("title_sim") >= least)
-    return scored.select("a", "b", "title_sim", t.jaccard(F.col("names_a"), F.col("names_b")).alias("author_overlap"))
+    close = both(pairs, small).where(F.lit(2.0) * F.least(la, lb) >= F.lit(least) * (la + lb)).select("a", "b")
+    return both(close, keyed).drop("id_a", "id_b")
+
+
+def fuzzy_title_pairs(rows: DataFrame, *, id_col: str, title_col: str, authors_col: str, year_col: str | None = None, least: float = 0.85, strong_authors: int = 2, weak_authors: int = 1, vector_col: str | None = None, least_cosine: float = 0.8, max_block: int | None = 50, max_years: int = 2) -> DataFrame:
+    """Pairs of rows that are likely the same work: near titles and years, and ``strong_authors`` shared surnames.
+
+    With a column of normalised vectors of the abstracts, ``weak_authors`` and a cosine of
+    ``least_cosine`` do as well. A year that is no number is near to any. Volumes of
+    proceedings are left out.
+    """
+    kept = rows.where(~F.startswith(F.lower(t.or_blank(F.col(title_col))), F.lit("proceedings of")))
+    extra = {"year": f"cast({year_col} as string)" if year_col else "''"} | ({"vector": vector_col} if vector_col else {})
+    near = candidate_pairs(kept, id_col=id_col, title_col=title_col, authors_col=authors_col, least=least, max_block=max_block, extra=extra)
+    gap = F.coalesce(F.abs(F.expr("try_cast(year_a as int)") - F.expr("try_cast(year_b as int)")), F.lit(0))
+    near = near.withColumn("year_gap", gap).where(F.col("year_gap") <= max_years).withColumn("shared_authors", F.size(F.array_intersect("names_a", "names_b")))
+    near = near.where(F.col("shared_authors") >= (weak_authors if vector_col else strong_authors))
+    near = near.withColumn("title_sim", title_likeness(F.col("title_a"), F.col("title_b"), least)).where(F.col("title_sim").isNotNull())
+    if vector_col:
+        weak = F.col("shared_authors") < strong_authors
+        near = near.withColumn("abstract_cosine", F.when(weak, cosine(F.col("vector_a"), F.col("vector_b")))).where(~weak | (F.col("abstract_cosine") >= least_cosine))
+    else:
+        near = near.withColumn("abstract_cosine", F.lit(None).cast("double"))
+    return near.select("a", "b", "title_sim", t.jaccard(F.col("names_a"), F.col("names_b")).alias("author_overlap"), "shared_authors", "year_gap", "abstract_cosine")
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Inner product of two normalised vectors; 0 where one is missing."""
+    return F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+
+
+def near_misses(rows: DataFrame, *, id_col: str, title_col: str, authors_col: str, group_col: str, low: float = 0.4, high: float = 0.85, least_overlap: float = 0.2, max_block: int | None = 50) -> DataFrame:
+    """Pairs that are not of one group and nearly alike: title likeness from ``low`` to ``high`` and surname Jaccard of ``least_overlap`` or more, the most alike first."""
+    near = candidate_pairs(rows, id_col=id_col, title_col=title_col, authors_col=authors_col, least=low, max_block=max_block, extra={"group": f"coalesce({group_col}, '')"})
+    near = near.where((F.col("group_a") == "") | (F.col("group_a") != F.col("group_b"))).withColumn("author_overlap", t.jaccard(F.col("names_a"), F.col("names_b"))).where(F.col("author_overlap") >= least_overlap)
+    scored = near.withColumn("title_sim", title_likeness(F.col("title_a"), F.col("title_b"), low)).where(F.col("title_sim") <= high)
+    return scored.select("a", "b", "title_sim", "author_overlap").orderBy(F.desc("title_sim"), "a", "b")
+
+
+def audit_groups(rows: DataFrame, *, id_col: str, group_col: str, title_col: str, authors_col: str, vector_col: str) -> DataFrame:
+    """The pairs within each group with three likenesses: group, a, b, title_sim, author_overlap, abstract_cosine (three places), by group.
+
+    Rows of a group that are equal in all that is compared stand for one another: they
+    are one member, under the least id, with n_a and n_b rows, since they are alike by
+    definition; so copies of a record add no pairs.
+    """
+    said = rows.where(t.or_blank(F.col(group_col)) != "").groupBy(F.col(group_col).alias("group"), t.or_blank(F.col(title_col)).alias("title"), t.or_blank(F.col(authors_col)).alias("authors"), F.col(vector_col).alias("vector")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
+    member = said.select("group", "id", "n", t.title_words(F.col("title")).alias("title"), t.surnames(F.col("authors")).alias("names"), "vector")
+    side = lambda x: member.select(F.col("group").alias(f"group_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "title", "names", "vector")])
+    met = side("a").join(side("b"), (F.col("group_a") == F.col("group_b")) & (F.col("id_a") < F.col("id_b")))
+    likeness = title_likeness(F.col("title_a"), F.col("title_b"))
+    return met.select(F.col("group_a").alias("group"), F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b", F.bround(likeness, 3).alias("title_sim"), F.bround(t.jaccard(F.col("names_a"), F.col("names_b")), 3).alias("author_overlap"), F.bround(cosine(F.col("vector_a"), F.col("vector_b")), 3).alias("abstract_cosine")).orderBy("group", "a", "b")
 
 
 def apply_merges(pairs: list[tuple], groups: dict) -> dict:
-    """Group numbers after taking over the pairs in order: one grouped takes in the other, two ungrouped start a group, two grouped are left.
+    """Group numbers after taking over the pairs in order, as merge_steps()."""
+    return merge_steps(pairs, groups)[0]
 
-    The result depends on the order, and the list is short (a review list), so it is plain Python.
+
+def merge_steps(pairs: list[tuple], groups: dict, manual: list[tuple] = ()) -> tuple[dict, list[tuple]]:
+    """Group numbers after taking over the pairs in order, then the manual ones; and the pairs that were applied (a, b, group).
+
+    One grouped takes in the other, two ungrouped start a group, two grouped are left; a
+    manual pair of which a side is unknown too. The result depends on the order: each
+    pair may change what the next finds. It is a review list (pairs of likely the same
+    work that no exact title links), so it is plain Python over its few rows.
     """
-    out = dict(groups)
+    out, applied = dict(groups), []
     top = max([int(g[3:]) for g in out.values() if g], default=0)
-    for a, b in pairs:
+    for a, b in [*pairs, *(p for p in manual if p[0] in out and p[1] in out)]:
         ga, gb = out.get(a, ""), out.get(b, "")
         if ga and gb:
             continue
@@ -119,7 +188,8 @@ def apply_merges(pairs: list[tuple], groups: dict) -> dict:
             top += 1
             ga = f"grp{top:04d}"
         out[a] = out[b] = ga or gb
-    return out
+        applied.append((a, b, out[a]))
+    return out, applied
 
 
 def resume(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
+from ..storage import written
 
 # ---------------------------------------------------------------- chunks
 
@@ -76,8 +79,11 @@ class LexicalIndex:
 
 
 def lexical_index(chunks: DataFrame, *, id_col: str = "chunk_id", text_col: str = "text", epsilon: float = 0.25) -> LexicalIndex:
-    """idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes epsilon times the mean over the vocabulary."""
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), t.terms(F.col(text_col)).alias("__t"))
+    """idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes epsilon times the mean over the vocabulary.
+
+    Texts are split into terms once, into a written table that all parts of the index are made from.
+    """
+    tokens = written(chunks.select(F.col(id_col).alias("chunk_id"), t.terms(F.col(text_col)).alias("__t")), "lexical-tokens")
     lengths = tokens.select("chunk_id", F.size("__t").cast("long").alias("dl"))
     postings = tokens.select("chunk_id", F.explode("__t").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
@@ -122,26 +128,33 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def hash_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic stand-in for a sentence encoder: signed hashed terms, normalised."""
+    """A deterministic stand-in for a sentence encoder: signed hashed terms, normalised.
+
+    A term's hash is the first 32 bits of its MD5: its place is the remainder by
+    ``dim``, its sign bit 16.
+    """
+    import hashlib
     import re
-    import zlib
+    from functools import lru_cache
+
+    @lru_cache(1 << 16)
+    def hashed(w: str) -> int:
+        return int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), np.float32)
+        out = np.zeros((len(texts), dim))
         for i, x in enumerate(texts):
-            for w in re.findall("[a-z0-9]+", (x or "").lower()):
-                h = zlib.crc32(w.encode())
-                out[i, h % dim] += 1 if h >> 16 & 1 else -1
+            h = np.fromiter(map(hashed, re.findall("[a-z0-9]+", (x or "").lower())), np.int64)
+            np.add.at(out[i], h % dim, np.where(h >> 16 & 1, 1.0, -1.0))
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 
     return encode
 
 
-def embed(rows: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], *, text_col: str = "text", out: str = "embedding", batch: int = 64) -> DataFrame:
+def embed(rows: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], *, text_col: str = "text", out: str = "embedding", batch: int = 64, kind: str = "array<float>") -> DataFrame:
     """Adds the vectors of an encoder, which is made once a task and fed ``batch`` texts at a time."""
-
-    return rows.withColumn(out, F.pandas_udf(_iterated(encoder, batch), "array<float>")(F.col(text_col)))
+    return rows.withColumn(out, F.pandas_udf(_iterated(encoder, batch), kind)(F.col(text_col)))
 
 
 def _iterated(encoder, batch: int):
@@ -155,53 +168,40 @@ def _iterated(encoder, batch: int):
     return run
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "chunk_id", vector_col: str = "embedding", block_rows: int = 1024) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "chunk_id", vector_col: str = "embedding", block_rows: int = 4096, decimals: int = 9) -> DataFrame:
     """query_id, chunk_id, score (inner product in doubles), rank: exact, for a stated set of queries (query_id, embedding).
 
-    Queries go in blocks of about ``block_rows``; a task multiplies one block with the
-    vectors of its partition as they stream by, keeps the k best of each query, and
-    only those are shuffled. Memory is a block, a batch and the best.
+    Queries and vectors are dealt into blocks of about ``block_rows``, and each pair of
+    blocks is a unit of work: one product of two matrices, of which the k best of each
+    query go on. Scores are ranked as rounded to ``decimals``, ties by id. Null vectors take no part.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block_rows))
-    keyed = queries.select("query_id", F.col(vector_col).alias("v")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    # one row for each block, of a bounded number of queries: the side that is sent to all tasks, block by block
-    found = None
-    for block in range(blocks):
-        rows = keyed.where(F.col("block") == block).select("query_id", "v").toPandas()
-        if not len(rows):
-            continue
-        ids, matrix = rows["query_id"].tolist(), np.array(rows["v"].tolist(), dtype=np.float64)
-        part = _best_of(vectors.select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("v")), ids, matrix, k, queries.schema["query_id"].dataType.simpleString())
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema[id_col].dataType.simpleString()}, score double, rank int")
-    return top_ranked(found, k, decimals=9)
-
-
-def _best_of(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, id_type: str) -> DataFrame:
-    chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def work(batches):
-        ids, q = sent.value
-        best_s = np.full((len(ids), 0), -np.inf)
-        best_c = np.zeros((len(ids), 0), dtype=object)
-        for pdf in batches:
-            pdf = pdf[pdf["v"].notna()]
-            if not len(pdf):
-                continue
-            s = q @ np.array(pdf["v"].tolist(), dtype=np.float64).T
-            c = np.broadcast_to(pdf["chunk_id"].to_numpy(dtype=object), s.shape)
-            s, c = np.concatenate([best_s, s], 1), np.concatenate([best_c, c], 1)
-            rounded = -np.round(s, 9)
-            pick = np.array([np.lexsort((cc.astype(pdf["chunk_id"].dtype), rr))[:k] for cc, rr in zip(c, rounded, strict=True)])
-            best_s, best_c = np.take_along_axis(s, pick, 1), np.take_along_axis(c, pick, 1)
-        rows = [(ids[i], best_c[i, j], best_s[i, j]) for i in range(len(ids)) for j in range(best_s.shape[1])]
-        if rows:
-            yield pd.DataFrame(rows, columns=["query_id", "chunk_id", "score"])
-
-    return vectors.mapInPandas(work, f"query_id {id_type}, chunk_id {chunk_type}, score double")
+    id_type, query_type = vectors.schema[id_col].dataType, queries.schema["query_id"].dataType
+    v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("chunk_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    q = queries.where(F.col(vector_col).isNotNull()).select("query_id", F.col(vector_col).cast("array<double>").alias("v"))
+    blocks = lambda df, name: df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int").alias(name))  # noqa: E731  one row
+    side = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    sizes = F.broadcast(blocks(v, "nc").crossJoin(blocks(q, "nq")))
+    dealt_v = v.crossJoin(sizes).select(side("chunk_id", "nc").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.lit(None).cast(query_type).alias("query_id"), "chunk_id", "v")
+    dealt_q = q.crossJoin(sizes).select(F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("cb"), side("query_id", "nq").alias("qb"), "query_id", F.lit(None).cast(id_type).alias("chunk_id"), "v")
+
+    def work(t: pa.Table) -> pa.Table:
+        asked = np.asarray(pc.is_valid(t.column("query_id")))
+        x = np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+        ids, names = t.column("chunk_id").filter(pa.array(~asked)), t.column("query_id").filter(pa.array(asked))
+        order = pc.sort_indices(ids)  # equal scores then lie by id
+        matrix = x[~asked][np.asarray(order)].T
+        rows, cols, scores = [], [], []
+        for at in range(0, len(names) if matrix.shape[1] else 0, 256):
+            s = x[asked][at : at + 256] @ matrix
+            pick = np.argsort(-np.round(s, decimals), axis=1, kind="stable")[:, :k]
+            rows.append(np.repeat(np.arange(at, at + len(s)), pick.shape[1]))
+            cols.append(pick.ravel())
+            scores.append(np.take_along_axis(s, pick, 1).ravel())
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        return pa.table({"query_id": names.take(pa.array(join(rows, np.int64))), "chunk_id": ids.take(order.take(pa.array(join(cols, np.int64)))), "score": join(scores, np.float64)})
+
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("chunk_id", id_type), T.StructField("score", T.DoubleType())])
+    return top_ranked(dealt_v.unionByName(dealt_q).groupBy("cb", "qb").applyInArrow(work, schema), k, decimals=decimals)
 
 
 # ---------------------------------------------------------------- fusion

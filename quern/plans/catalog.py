@@ -7,13 +7,14 @@ parameters of the queries; defaults live with the operators.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import evaluation, extraction, linking, relevance, retrieval
 from ..session import table
 from ..sources import records
+from ..storage import written
+from . import search
 
 K, DEPTH, SHOWN = 50, 200, 5
 
@@ -98,7 +99,7 @@ def anti_resume(spark, sf_dir):
     return linking.resume(documents(spark, sf_dir).select("doc_id", "source"), done, "doc_id")
 
 
-def version_pairs(spark, sf_dir):
+def top_customers(spark, sf_dir):
     """The 25 customers of the most orders whose id isn't also a supplier's, with their nation: anti-join, ordered limit, lookup."""
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
@@ -116,7 +117,7 @@ def neardup_pairs(spark, sf_dir):
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-def near_miss_blocks(spark, sf_dir):
+def title_word_blocks(spark, sf_dir):
     """Pairs of documents in blocks of at most 50 by a word of the title, with word likeness between 0.2 and 0.9."""
     words = papers(spark, sf_dir).select("doc_id", t.significant_words(F.col("title")).alias("w"))
     pairs = linking.blocked_pairs(words, "doc_id", F.col("w"), 50)
@@ -202,27 +203,31 @@ def dense_topk(spark, sf_dir):
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
 
 
-def _by_length(spark, sf_dir):
-    """A second ranking of BM25's candidates, by the share of a query's significant words that a chunk holds."""
-    q = _queries(spark, sf_dir).select("query_id", t.significant_words(F.col("text")).alias("qw"))
-    c = _chunks(spark, sf_dir).select("chunk_id", F.explode(t.significant_words(F.col("text"))).alias("w"))
-    met = c.join(q.select("query_id", F.size("qw").alias("n"), F.explode("qw").alias("w")), "w")
-    shared = met.groupBy("query_id", "chunk_id").agg((F.count(F.lit(1)) / F.max("n")).alias("score"))
-    return retrieval.top_ranked(shared, DEPTH, decimals=9)
+def hybrid_chunks(spark, sf_dir):
+    """The chunks, cut once into a written table that index, vectors and results are made from."""
+    return written(_chunks(spark, sf_dir), "chunks")
+
+
+def hybrid(chunks):
+    """BM25 and vectors of the same chunks; the encoder is the offline one."""
+    vectors = retrieval.embed(chunks, retrieval.hash_encoder, kind="array<double>").select("chunk_id", "embedding")
+    return search.Hybrid(search.Dense(vectors, retrieval.hash_encoder, 6), search.Lexical(retrieval.lexical_index(chunks), 6))
 
 
 def _hybrid(spark, sf_dir, k=K):
-    return retrieval.fuse([_by_length(spark, sf_dir), _bm25(spark, sf_dir, DEPTH)], k)
+    chunks = hybrid_chunks(spark, sf_dir)
+    return hybrid(chunks).search(_queries(spark, sf_dir), k), chunks
 
 
 def hybrid_rrf(spark, sf_dir):
-    return _hybrid(spark, sf_dir, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 9).alias("score"))
+    return _hybrid(spark, sf_dir, 10)[0].select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 9).alias("score"))
 
 
 def _ranked(spark, sf_dir):
     """Fused chunks with their text, group (the document) and whether the document is short, which stands for a survey."""
-    chunks = _chunks(spark, sf_dir).select(F.col("chunk_id").alias("__c"), "doc_id", "chunk_index", "text")
-    out = _hybrid(spark, sf_dir).join(chunks, F.col("chunk_id") == F.col("__c"))
+    found, chunks = _hybrid(spark, sf_dir)
+    held = chunks.select(F.col("chunk_id").alias("__c"), "doc_id", "chunk_index", "text")
+    out = found.join(held, F.col("chunk_id") == F.col("__c"))
     kinds = documents(spark, sf_dir).select(F.col("doc_id").alias("__d"), (F.col("n_chars") < 800).alias("is_survey"))
     return out.join(kinds, F.col("doc_id") == F.col("__d")).withColumn("group_id", (F.col("doc_id") % 100).cast("string")).withColumn("is_canonical", F.col("doc_id") % 2 == 0).drop("__c", "__d")
 
@@ -356,9 +361,7 @@ def safe_keys(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        relevance_score, relevance_decide, survey_flag, manifest_rollup, link_groups, canonical_pick, group_breakdown, unique_papers, merge_first_wins, anti_resume, version_pairs, exact_dedup, neardup_pairs, near_miss_blocks, fuzzy_title_pairs, chunk_words, parse_status_report, html_sections, html_headings, repeated_lines, bm25_stats, bm25_topk, dense_topk, hybrid_rrf,
+        relevance_score, relevance_decide, survey_flag, manifest_rollup, link_groups, canonical_pick, group_breakdown, unique_papers, merge_first_wins, anti_resume, top_customers, exact_dedup, neardup_pairs, title_word_blocks, fuzzy_title_pairs, chunk_words, parse_status_report, html_sections, html_headings, repeated_lines, bm25_stats, bm25_topk, dense_topk, hybrid_rrf,
         diversify_cap1, diversify_cap2, diversify_collapse, redundant_rate, same_group_share, hit_metrics, metrics_rollup, latency_quantiles, bootstrap_ci, cite_parse, abstain_flags, confusion, rewrite_context, sources_block, bib_parse, safe_keys,
     )
 }
-
-__all__ = ["QUERIES", "W", "entry"]

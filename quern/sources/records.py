@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 
@@ -51,10 +52,10 @@ def query_text(use_rewrite: bool = True) -> Column:
 # ---------------------------------------------------------------- BibTeX
 
 # Fixed value: what a bulk entry must mention to be parsed.
-BIB_TERMS = ("bpe", "byte pair", "byte-pair", "sentencepiece", "subword", "token", "wordpiece")
+BIB_TERMS = ("token", "bpe", "subword", "sentencepiece", "wordpiece", "byte-pair", "byte pair")
 
-#: name = "quoted" or {braced, one level nested}, before the next field or the end.
-BIB_FIELD = r'(?s)(\w+)\s*=\s*(?:"((?:[^"\\]|\\.)*)"|\{((?:[^{}]|\{[^{}]*\})*)\})(?=,\s*\n\s*\w+\s*=|\s*,?\s*\n?\}|\s*$)'
+# Fixed value: name = "quoted" or {braced, one level nested}, before the next field, a closing brace on a line of its own, or the end.
+BIB_FIELD = r'(?s)(\w+)\s*=\s*(?:"((?:[^"\\]|\\.)*)"|\{((?:[^{}]|\{[^{}]*\})*)\})(?=,\s*\n\s*\w+\s*=|\s*\n\}|\s*$)'
 
 
 def read_bib(spark: SparkSession, path: str, partitions: int | None = None, terms: tuple[str, ...] = BIB_TERMS) -> DataFrame:
@@ -130,9 +131,16 @@ def fetch_plan(rows: DataFrame) -> DataFrame:
 
 
 def valid_content(content: Column, kind: Column, status: Column) -> Column:
-    """200, and HTML of 500 bytes or more, or a PDF of 1000 or more that begins with %PDF-."""
+    """Whether a response can be used, by its kind.
+
+    All need status 200. html: 500 characters or more, whatever bytes they take (what
+    is no UTF-8 counts as replaced); arxiv_pdf: 1000 bytes or more; any other PDF also
+    begins with %PDF-.
+    """
     n = F.octet_length(content)
-    return (status == 200) & F.when(kind == "html", n >= 500).otherwise((n >= 1000) & (F.substring(content, 1, 5) == F.lit(b"%PDF-")))
+    chars = F.length(content.cast("string"))
+    fits = F.when(kind == "html", chars >= 500).when(kind == "arxiv_pdf", n >= 1000).otherwise((n >= 1000) & (F.substring(content, 1, 5) == F.lit(b"%PDF-")))
+    return (status == 200) & fits
 
 
 def request_key(*parts: Column) -> Column:
@@ -172,10 +180,22 @@ def to_json_report(report: dict) -> str:
     return json.dumps(report, indent=2, sort_keys=True)
 
 
-def numbered(rows: DataFrame, order: list, name: str = "seq") -> DataFrame:
-    """Adds a global number from 1 without gathering all rows: partitions are sorted ranges, whose counts shift their own numbers."""
-    ranged = rows.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+def numbered(rows: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """Adds a global number from 1 by the columns ``order`` (rising, nulls first; rows equal in all of them share a number's place in no fixed order).
+
+    The keys are cut into ranges, whose first keys are known to the driver; a row's
+    number is its place in its range after the counts of the ranges before. The ranges
+    are fixed by those literal keys, so counting and numbering see the same ones.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = F.struct(*order)
+    starts = [r.first for r in rows.select(keys.alias("k")).repartitionByRange(parts, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("first")).collect()]
+    bounds = sorted(starts, key=lambda r: tuple((x is not None, x) for x in r))[1:]
+    schema = rows.select(keys.alias("k")).schema["k"].dataType
+    literal = F.from_json(F.lit(json.dumps([r.asDict() for r in bounds], default=str)), T.ArrayType(schema)) if bounds else F.array().cast(T.ArrayType(schema))
+    ranged = rows.withColumn("__p", F.size(F.filter(literal, lambda b: b <= keys)))
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    starts = counts.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    within = F.row_number().over(W.partitionBy("__p").orderBy("__m"))
-    return ranged.join(starts, F.col("__p") == F.col("__q")).withColumn(name, (F.col("__s") + within).cast("long")).drop("__p", "__m", "__q", "__s")
+    before = counts.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__s"))  # a row for each range
+    within = F.row_number().over(W.partitionBy("__p").orderBy(*order))
+    return ranged.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, (F.col("__s") + within).cast("long")).drop("__p", "__q", "__s")
