@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, let
+from .license_texts import TEXTS
 
 # Short notices and texts of common licences, by their usual identifiers.
 TEMPLATES = {
@@ -49,7 +51,11 @@ TEMPLATES = {
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-}
+} | TEXTS
+
+
+#: Templates of as many bigrams are looked for by counts of their words, others by single words.
+LONG = 300
 
 
 def bigrams_of(text: str) -> list[str]:
@@ -120,23 +126,74 @@ def best_window(p: Column, hits: Column, grams: list[str], threshold: float) ->
     return let(found, lambda x: F.when(x["dice"] >= threshold, x))
 
 
-def anchor_words(sets: dict[str, list[str]], threshold: float) -> list[str]:
-    """Few words of which a text holds one if any unit of it reaches the threshold with any template.
+def anchors(sets: dict[str, list[str]], threshold: float) -> list[list[str]]:
+    """Few lists of words; a text holds all words of one of them if any unit of it reaches the threshold with any template.
 
     Such a unit shares at least t / (2 - t) of the template's bigrams, so it shares one
-    of any of them that are more than the rest. Words are added, the most useful
-    first, until those among a template's bigrams that hold one are as many.
+    of any of them that are more than the rest. Words of five letters or more are added,
+    the most useful first, until those among a template's bigrams that hold one are as
+    many; each is a list of its own. Where a template has too few such words, a unit
+    without them shares so many of its other bigrams that some words can't be missing:
+    these are one list. Only where there are none shorter words are added as well.
     """
-    need = {name: math.floor(len(b) * (1 - threshold / (2 - threshold)) + 1e-9) + 1 for name, b in sets.items()}
-    chosen: list[str] = []
+    least = {name: size_bounds(len(b), threshold)[0] for name, b in sets.items()}
+    need = {name: len(b) - least[name] + 1 for name, b in sets.items()}
+    by_word: dict[str, dict[str, set[int]]] = {}
+    for name, b in sets.items():
+        for i, x in enumerate(b):
+            for w in x.split():
+                by_word.setdefault(w, {}).setdefault(name, set()).add(i)
+    chosen: list[list[str]] = []
+    held: dict[str, set[int]] = {name: set() for name in sets}
+
+    def gain(w: str) -> int:
+        return sum(min(need[name], len(held[name] | places)) - min(need[name], len(held[name])) for name, places in by_word[w].items())
+
+    def add(some: list[str]) -> bool:
+        best = max(some, key=lambda w: (gain(w), len(w), w), default="")
+        if not best or not gain(best):
+            return False
+        chosen.append([best])
+        for name, places in by_word[best].items():
+            held[name] |= places
+        return True
+
+    long = [w for w in by_word if len(w) >= 5 and not w.isdigit()]
+    while add(long):
+        pass
+    for name, b in sets.items():
+        while len(held[name]) < need[name]:
+            rest = len(b) - len(held[name])
+            required = sorted(w for w, there in by_word.items() if rest - len(there.get(name, set()) - held[name]) < least[name])
+            if required:
+                chosen.append(required)
+                break
+            add(list(by_word))
+    return chosen
 
-    def held(word_list: list[str]) -> dict[str, int]:
-        return {name: min(need[name], sum(any(w in x.split() for w in word_list) for x in b)) for name, b in sets.items()}
 
-    while held(chosen) != need:
-        left = {w for b in sets.values() for x in b for w in x.split()} - set(chosen)
-        chosen.append(max(sorted(left), key=lambda w: (sum(held([*chosen, w]).values()), len(w))))
-    return chosen
+def counted_words(grams: list[str], threshold: float, share: float = 0.75) -> tuple[list[str], int]:
+    """Words and how many of them a unit that reaches the threshold with a long template holds at least.
+
+    Of any m of the template's n bigrams the unit shares m less n (1 - t / (2 - t)). The
+    words are those of five letters or more that stand in most bigrams, until ``share``
+    of the bigrams hold one; fewer of them than returned are in too few bigrams together.
+    """
+    n = len(grams)
+    by_word: dict[str, set[int]] = {}
+    for i, x in enumerate(grams):
+        for w in x.split():
+            by_word.setdefault(w, set()).add(i)
+    order = sorted(by_word, key=lambda w: (len(w) < 5, -len(by_word[w]), w))
+    held, covered = [], set()
+    while len(covered) < share * n:
+        held.append(order[len(held)])
+        covered |= by_word[held[-1]]
+    wanted, k = len(covered) - (n - size_bounds(n, threshold)[0]), 0
+    sizes = sorted((len(by_word[w]) for w in held), reverse=True)
+    while k < len(sizes) and sum(sizes[:k]) < wanted:
+        k += 1
+    return held, max(1, k)
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, templates: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -160,11 +217,21 @@ def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, tem
     text = F.coalesce(F.col(own), F.lit(""))
     lines = F.split(text, "\n")
 
+    short = {name: b for name, b in sets.items() if len(b) < LONG}
+    gates = [(size_bounds(len(b), threshold)[0], *counted_words(b, threshold)) for b in sets.values() if len(b) >= LONG]
+
     def anchored(t: Column) -> Column:
-        low, found = F.lower(t), None
-        for w in anchor_words(sets, threshold):
-            found = F.contains(low, F.lit(w)) if found is None else found | F.contains(low, F.lit(w))
-        return found
+        def inside(low: Column) -> Column:
+            found = F.lit(False)
+            for held in anchors(short, threshold):
+                found = found | reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in held])
+            for least, held, k in gates:
+                # so many bigrams of two letters and a space at least
+                many = sum((F.contains(low, F.lit(w)).cast("int") for w in held), F.lit(0)) >= k
+                found = found | ((F.length(low) >= 2 * least) & many)
+            return found
+
+        return let(F.lower(t), inside)
 
     unit = lambda line, t: F.struct(line.cast("int").alias("line"), t.alias("text"))
     by_line = F.filter(F.transform(lines, lambda t, i: unit(i + 1, t)), lambda u: anchored(u["text"]))

@@ -9,14 +9,27 @@ _TEMPLATES = ",\n  ".join("('{}', [{}])".format(name, ", ".join(f"'{x}'" for x i
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": f"""WITH t(license, g) AS (VALUES
   {_TEMPLATES}),
+tn AS (SELECT license, len(g)::BIGINT AS n, greatest(1, ceil(len(g) * 8e-1 / 12e-1 - 1e-9))::BIGINT AS low, floor(len(g) / (8e-1 / 12e-1) + 1e-9)::BIGINT AS high FROM t),
 split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, coalesce(text, '') AS text FROM documents),
 units AS (SELECT doc_id, 0 AS line, text AS x FROM split UNION ALL SELECT doc_id, i, lines[i] FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM split WHERE len(lines) > 1)),
 worded AS (SELECT doc_id, line, regexp_extract_all(lower(x), '[a-z0-9]+') AS w FROM units),
 sets AS (SELECT doc_id, line, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS b FROM worded),
-dice AS (SELECT doc_id, line, license, 2e0 * len(list_intersect(b, g)) / (len(b) + len(g)) AS dice FROM sets, t WHERE len(b) > 0),
+dice AS (SELECT doc_id, line, license, 2e0 * len(list_intersect(b, g)) / (len(b) + len(g)) AS dice FROM sets, t JOIN tn USING (license) WHERE len(b) BETWEEN low AND high),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) AS r FROM dice WHERE dice >= 8e-1),
-found AS (SELECT doc_id, count(*) AS n, string_agg(line || ':' || license, ',' ORDER BY line) AS licenses, max(dice) AS best FROM best WHERE r = 1 GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0) AS n_licenses, coalesce(licenses, '') AS licenses, round(best, 6) AS best_dice FROM documents d LEFT JOIN found USING (doc_id)""",
+found AS (SELECT doc_id, count(*) AS n, string_agg(line || ':' || license, ',' ORDER BY line) AS licenses, max(dice) AS best FROM best WHERE r = 1 GROUP BY doc_id),
+runs AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p FROM worded WHERE line = 0),
+grams AS (SELECT license, unnest(g) AS gram FROM t),
+hits AS (SELECT doc_id, license, i, gram FROM (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS gram FROM runs) JOIN grams USING (gram)),
+near AS (SELECT doc_id, license, list(i ORDER BY i) AS places, list(gram ORDER BY i) AS gs FROM hits GROUP BY doc_id, license),
+firsts AS (SELECT *, unnest(range(1, len(places) + 1)) AS a FROM near JOIN tn USING (license) WHERE len(list_distinct(gs)) >= low),
+ends AS (SELECT *, unnest(range(a + low - 1, least(len(places), a + high - 1) + 1)) AS e FROM firsts),
+shared AS (SELECT doc_id, license, n, low, places[a] AS s, places[e] AS z, len(list_distinct(gs[a:e])) AS k FROM ends WHERE places[e] - places[a] < high),
+windows AS (SELECT doc_id, license, s, z, 2e0 * k / (len(list_distinct(p[s:z])) + n) AS dice FROM shared JOIN runs USING (doc_id) WHERE k >= low),
+noticed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, s, z) AS r FROM windows WHERE dice >= 8e-1) WHERE r = 1),
+filled AS (SELECT doc_id, line, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM (SELECT * FROM worded WHERE line > 0 UNION ALL SELECT doc_id, 1, w FROM worded WHERE line = 0 AND doc_id IN (SELECT doc_id FROM split WHERE len(lines) = 1))),
+placed AS (SELECT x.doc_id, x.license, x.dice, (SELECT min(line) FROM filled f WHERE f.doc_id = x.doc_id AND f.upto >= x.s) AS line FROM noticed x),
+notices AS (SELECT doc_id, string_agg(line || ':' || license, ',' ORDER BY license) AS notices, max(dice) AS best_notice FROM placed GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_licenses, coalesce(licenses, '') AS licenses, round(best, 6) AS best_dice, coalesce(notices, '') AS notices, round(best_notice, 6) AS best_notice FROM documents d LEFT JOIN found USING (doc_id) LEFT JOIN notices USING (doc_id)""",
     "op5_ngram_join": """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, array_to_string(w, ' ') AS key, list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s FROM w WHERE len(w) > 0),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
