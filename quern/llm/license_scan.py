@@ -19,12 +19,11 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, let
+from .common import fresh
 from .license_texts import TEXTS
 
 # Short notices and texts of common licences, by their usual identifiers.
@@ -54,6 +53,8 @@ TEMPLATES = {
 } | TEXTS
 
 
+EMPTY = "cast(array() as array<struct<license:string,line:int,dice:double>>)"
+
 #: Templates of as many bigrams are looked for by counts of their words, others by single words.
 LONG = 300
 
@@ -64,66 +65,61 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({" ".join(p) for p in zip(words, words[1:], strict=False)} or set(words))
 
 
-def words(text: Column) -> Column:
-    """Lower-case words of ASCII letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+def size_bounds(n: int, threshold: float) -> tuple[int, int]:
+    """Least and most bigrams of a unit whose coefficient with a template of n bigrams can reach the threshold."""
+    low = threshold / (2 - threshold)
+    return max(1, math.ceil(n * low - 1e-9)), math.floor(n / low + 1e-9)
 
 
-def pairs(w: Column) -> Column:
-    """Pairs of adjacent words in order."""
-    left = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.zip_with(F.slice(w, F.lit(1), left), F.slice(w, F.lit(2), left), lambda a, b: F.concat(a, F.lit(" "), b))
+# The expressions are SQL text: they nest deep and repeat for each template, and are parsed at once.
 
 
-def bigrams(w: Column) -> Column:
-    """Distinct pairs of adjacent words; a single word stands for itself."""
-    return F.when(F.size(w) > 1, F.array_distinct(pairs(w))).otherwise(w)
+def let(x: str, name: str, body: str) -> str:
+    """body with x, computed once, under a name."""
+    return f"element_at(transform(array({x}), {name} -> {body}), 1)"
 
 
-def size_bounds(n: int, threshold: float) -> tuple[int, int]:
-    """Least and most bigrams of a unit whose coefficient with a template of n bigrams can reach the threshold."""
-    low = threshold / (2 - threshold)
-    return max(1, math.ceil(n * low - 1e-9)), math.floor(n / low + 1e-9)
+def words(text: str) -> str:
+    """Lower-case words of ASCII letters and digits, in order."""
+    return f"regexp_extract_all(lower({text}), '[a-z0-9]+', 0)"
 
 
-def best_window(p: Column, hits: Column, grams: list[str], threshold: float) -> Column:
-    """(dice, place, least) of the window of bigrams ``p`` that is most like a template, null if none reaches the threshold.
+def pairs(w: str) -> str:
+    """Pairs of adjacent words in order."""
+    return f"zip_with(slice({w}, 1, greatest(size({w}) - 1, 0)), slice({w}, 2, greatest(size({w}) - 1, 0)), (a, b) -> concat(a, ' ', b))"
 
-    hits (i, g) are the bigrams of ``p`` that any template has, with their places from 0;
-    place is minus that of the window's first bigram, so that of equal windows the first
-    is the greatest, and least is minus its length. Starts are taken by the number of
-    the template's bigrams ahead, and left out once that can't lead to a better window.
-    """
-    n = len(grams)
-    low, high = size_bounds(n, threshold)
-    none = F.lit(None).cast("struct<dice:double,place:int,least:int>")
-    bound = lambda shared: F.lit(2.0) * shared / (shared + n)
 
-    def started(h: Column, k: Column) -> Column:
-        first = F.element_at(h, k)["i"]
-        ahead = F.filter(F.slice(h, k, F.lit(high)), lambda x: x["i"] < first + high)
-        return let(ahead, lambda r: F.struct(F.size(F.array_distinct(F.transform(r, lambda x: x["g"]))).alias("s"), (-k).alias("k"), r.alias("r")))
+def bigrams(w: str) -> str:
+    """Distinct pairs of adjacent words; a single word stands for itself."""
+    return f"if(size({w}) > 1, array_distinct({pairs(w)}), {w})"
 
-    def windows(best: Column, r: Column) -> Column:
-        first = F.element_at(r, 1)["i"]
-        ends = F.filter(F.sequence(F.lit(low), F.size(r)), lambda e: bound(e) >= F.coalesce(best["dice"], F.lit(threshold - 1e-9)))
 
-        def window(e: Column) -> Column:
-            length = F.element_at(r, e)["i"] - first + 1
-            shared = F.size(F.array_distinct(F.transform(F.slice(r, F.lit(1), e), lambda x: x["g"])))
-            whole = F.size(F.array_distinct(F.slice(p, first + 1, length)))
-            return F.struct((F.lit(2.0) * shared / (whole + n)).alias("dice"), (-first).alias("place"), (-length).alias("least"))
+def listed(grams: list[str]) -> str:
+    return ", ".join(f"'{g}'" for g in grams)
 
-        return F.greatest(best, F.array_max(F.transform(ends, window)))
 
-    def searched(h: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.size(h) - low + 1), lambda k: F.element_at(h, k + low - 1)["i"] - F.element_at(h, k)["i"] < high)
-        starts = F.filter(F.transform(places, lambda k: started(h, k)), lambda x: x["s"] >= low)
-        better = lambda best, x: F.when(best.isNull() | (bound(x["s"]) >= best["dice"]), windows(best, x["r"])).otherwise(best)
-        return F.aggregate(F.reverse(F.array_sort(starts)), none, better)
+def best_window(name: str, grams: list[str], threshold: float) -> str:
+    """(license, at, dice) of the window of the bigrams ``p`` that is most like a template, null if none reaches the threshold.
 
-    found = let(F.filter(hits, lambda x: x["g"].isin(grams)), lambda h: F.when(F.size(h) >= low, searched(h)).otherwise(none))
-    return let(found, lambda x: F.when(x["dice"] >= threshold, x))
+    hits (i, g) are the bigrams of ``p`` that any template has, with their places from 0.
+    Of windows the greatest (dice, place, least) is taken: place is minus that of the
+    window's first bigram, so that of equal windows the first is the greatest, and least
+    is minus its length. Starts are taken by the number of the template's bigrams ahead,
+    and left out once that can't lead to a better window.
+    """
+    n = len(grams)
+    low, high = size_bounds(n, threshold)
+    distinct = lambda x: f"size(array_distinct(transform({x}, x -> x.g)))"
+    ahead = f"filter(slice(h, k, {high}), x -> x.i < element_at(h, k).i + {high})"
+    started = let(ahead, "r", f"named_struct('s', {distinct('r')}, 'k', -k, 'r', r)")
+    window = let(f"element_at(run, e).i - element_at(run, 1).i + 1", "len", f"named_struct('dice', 2D * {distinct('slice(run, 1, e)')} / (size(array_distinct(slice(p, element_at(run, 1).i + 1, len))) + {n}), 'place', -element_at(run, 1).i, 'least', -len)")
+    ends = f"filter(sequence({low}, size(run)), e -> 2D * e / (e + {n}) >= coalesce(best.dice, {threshold - 1e-9}D))"
+    windows = let("start.r", "run", f"greatest(best, array_max(transform({ends}, e -> {window})))")
+    places = f"filter(sequence(1, size(h) - {low - 1}), k -> element_at(h, k + {low - 1}).i - element_at(h, k).i < {high})"
+    starts = f"filter(transform({places}, k -> {started}), x -> x.s >= {low})"
+    searched = f"aggregate(reverse(array_sort({starts})), cast(null as struct<dice:double,place:int,least:int>), (best, start) -> if(best is null or 2D * start.s / (start.s + {n}) >= best.dice, {windows}, best))"
+    found = let(f"filter(hits, x -> x.g in ({listed(grams)}))", "h", f"if(size(h) >= {low}, {searched}, null)")
+    return let(found, "f", f"if(f.dice >= {threshold}D, named_struct('license', '{name}', 'at', -f.place, 'dice', f.dice), null)")
 
 
 def anchors(sets: dict[str, list[str]], threshold: float) -> list[list[str]]:
@@ -210,55 +206,39 @@ def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.8, tem
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("licenses", "notices")]
     own = fresh(docs, "__text")
-    sets = {name: bigrams_of(t) for name, t in sorted((TEMPLATES if templates is None else templates).items())}
-    none = F.array().cast("array<struct<license:string,line:int,dice:double>>")
+    sets = {name.replace("\\", "\\\\").replace("'", "\\'"): bigrams_of(t) for name, t in sorted((TEMPLATES if templates is None else templates).items())}
     if not sets:
-        return docs.select(*keep, none.alias("licenses"), none.alias("notices"))
-    text = F.coalesce(F.col(own), F.lit(""))
-    lines = F.split(text, "\n")
-
-    short = {name: b for name, b in sets.items() if len(b) < LONG}
+        return docs.select(*keep, F.expr(EMPTY).alias("licenses"), F.expr(EMPTY).alias("notices"))
+    text = f"coalesce(`{own}`, '')"
+    lists = anchors({name: b for name, b in sets.items() if len(b) < LONG}, threshold)
     gates = [(size_bounds(len(b), threshold)[0], *counted_words(b, threshold)) for b in sets.values() if len(b) >= LONG]
 
-    def anchored(t: Column) -> Column:
-        def inside(low: Column) -> Column:
-            found = F.lit(False)
-            for held in anchors(short, threshold):
-                found = found | reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in held])
-            for least, held, k in gates:
-                # so many bigrams of two letters and a space at least
-                many = sum((F.contains(low, F.lit(w)).cast("int") for w in held), F.lit(0)) >= k
-                found = found | ((F.length(low) >= 2 * least) & many)
-            return found
-
-        return let(F.lower(t), inside)
-
-    unit = lambda line, t: F.struct(line.cast("int").alias("line"), t.alias("text"))
-    by_line = F.filter(F.transform(lines, lambda t, i: unit(i + 1, t)), lambda u: anchored(u["text"]))
-    units = F.concat(F.array(unit(F.lit(0), text)), F.when(F.size(lines) > 1, by_line).otherwise(F.array().cast("array<struct<line:int,text:string>>")))
-    sized = F.transform(units, lambda u: F.struct(u["line"].alias("line"), bigrams(words(u["text"])).alias("b")))
-
-    def judged(u: Column) -> Column:
-        n, dice = F.size(u["b"]), []
-        for i, (name, grams) in enumerate(sets.items()):
-            shared = F.size(F.array_intersect(u["b"], F.split(F.lit("|".join(grams)), "[|]")))
-            low, high = size_bounds(len(grams), threshold)
-            dice.append(F.when(n.between(low, high), F.struct((F.lit(2.0) * shared / (n + len(grams))).alias("dice"), F.lit(-i).alias("order"), F.lit(name).alias("license"), u["line"].alias("line"))))
-        return F.greatest(*dice) if len(dice) > 1 else dice[0]
-
-    best = F.filter(F.transform(sized, judged), lambda x: x["dice"] >= threshold)
-    found = F.transform(best, lambda x: F.struct(x["license"].alias("license"), x["line"].alias("line"), x["dice"].alias("dice")))
-
-    def noticed(p: Column) -> Column:
-        union = sorted({g for grams in sets.values() for g in grams})
-        hits = F.filter(F.transform(p, lambda g, i: F.when(g.isin(union), F.struct(i.alias("i"), g.alias("g")))), lambda x: x.isNotNull())
-        sizes = F.transform(lines, lambda t: F.size(words(t)))
-        state = lambda n, line: F.struct(n.cast("int").alias("n"), line.cast("int").alias("line"))
-        line_of = lambda c, at: F.aggregate(c, state(F.lit(0), F.lit(0)), lambda a, n: F.when(a["n"] > at, a).otherwise(state(a["n"] + n, a["line"] + 1)))["line"]
-        named = lambda name, found: let(found, lambda x: F.when(x.isNotNull(), F.struct(F.lit(name).alias("license"), (-x["place"]).alias("at"), x["dice"].alias("dice"))))
-        best = lambda h: F.array(*[named(name, best_window(p, h, grams, threshold)) for name, grams in sets.items()])
-        placed = lambda x: let(sizes, lambda c: F.transform(x, lambda y: F.struct(y["license"].alias("license"), line_of(c, y["at"]).alias("line"), y["dice"].alias("dice"))))
-        return let(F.filter(let(hits, best), lambda x: x.isNotNull()), lambda x: F.when(F.size(x) > 0, placed(x)).otherwise(none))
-
-    runs = let(words(text), lambda w: let(pairs(w), noticed))
-    return docs.select(*keep, F.col(text_col).alias(own)).select(*keep, F.when(anchored(text), found).otherwise(none).alias("licenses"), F.when(anchored(text), runs).otherwise(none).alias("notices"))
+    def anchored(t: str, counted: bool) -> str:
+        """Whether the text can hold a licence; without counting words a long text always can."""
+        found = [" and ".join(f"contains(low, '{w}')" for w in held) for held in lists]
+        # so many bigrams of two letters and a space at least
+        found += [f"length(low) >= {2 * least}" + (f" and size(filter(split('{' '.join(held)}', ' '), w -> contains(low, w))) >= {k}" if counted else "") for least, held, k in gates]
+        return let(f"lower({t})", "low", " or ".join(f"({x})" for x in found) or "false")
+
+    def compared(i: int, name: str, grams: list[str]) -> str:
+        low, high = size_bounds(len(grams), threshold)
+        return f"if(size(u.b) between {low} and {high}, named_struct('dice', 2D * size(array_intersect(u.b, array({listed(grams)}))) / (size(u.b) + {len(grams)}), 'order', {-i}, 'license', '{name}', 'line', u.line), null)"
+
+    lines = f"split({text}, chr(10))"
+    by_line = f"filter(transform({lines}, (t, i) -> named_struct('line', i + 1, 'text', t)), u -> {anchored('u.text', False)})"
+    units = f"concat(array(named_struct('line', 0, 'text', {text})), if(size({lines}) > 1, {by_line}, cast(array() as array<struct<line:int,text:string>>)))"
+    sized = f"transform({units}, v -> {let(words('v.text'), 'w', f"named_struct('line', v.line, 'b', {bigrams('w')})")})"
+    options = [compared(i, name, grams) for i, (name, grams) in enumerate(sets.items())]
+    best = f"filter(transform({sized}, u -> greatest({', '.join([*options, 'null'])})), x -> x.dice >= {threshold}D)"
+    found = f"transform({best}, x -> named_struct('license', x.license, 'line', x.line, 'dice', x.dice))"
+    union = sorted({g for grams in sets.values() for g in grams})
+    hits = f"filter(transform(p, (g, i) -> if(g in ({listed(union)}), named_struct('i', i, 'g', g), null)), x -> x is not null)"
+    line_of = "aggregate(sizes, named_struct('n', 0, 'line', 0), (a, n) -> if(a.n > y.at, a, named_struct('n', a.n + n, 'line', a.line + 1))).line"
+    placed = let(f"transform({lines}, t -> size({words('t')}))", "sizes", f"transform(seen, y -> named_struct('license', y.license, 'line', {line_of}, 'dice', y.dice))")
+    windows = ", ".join(best_window(name, grams, threshold) for name, grams in sets.items())
+    seen = let(hits, "hits", f"filter(array({windows}), x -> x is not null)")
+    runs = let(words(text), "w", let(pairs("w"), "p", let(seen, "seen", f"if(size(seen) > 0, {placed}, {EMPTY})")))
+    held = fresh(docs, "__found")
+    both = F.expr(f"if({anchored(text, True)}, named_struct('licenses', {found}, 'notices', {runs}), null)")
+    looked = docs.select(*keep, F.col(text_col).alias(own)).select(*keep, both.alias(held))
+    return looked.select(*keep, *[F.coalesce(F.col(held)[c], F.expr(EMPTY)).alias(c) for c in ("licenses", "notices")])
