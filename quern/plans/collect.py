@@ -170,7 +170,8 @@ def version_pairs(rows: DataFrame, fetched: DataFrame, limit: int = 25, w: relev
     return out, new
 
 
-def version_limit(rows: DataFrame, limit: int | None) -> DataFrame:
-    """The first ``limit`` included rows in the manifest's order (column seq); all of them without a limit."""
-    kept = rows.where("included")
-    return kept if not limit else kept.orderBy("seq").limit(limit)
+def manifest(rows: DataFrame) -> DataFrame:
+    """The rows of collect() under the manifest's names, with seq and key."""
+    own = F.when(F.col("source") == "arxiv", F.concat("arxiv_id", "version")).when(F.col("source") == "semantic_scholar", F.col("paper_id")).otherwise(F.regexp_replace("key", "^acl:", ""))
+    named = rows.withColumn("source_id", own)
+    return named.select("seq", t.file_key(F.col("source"), F.col("source_id")).alias("key"), "source", "source_id", "title", "authors", "year", "venue", "abstract", F.col("url").alias("source_url"), "arxiv_id", F.col("version").alias("arxiv_version"), "doi", F.col("paper_id").alias("semantic_scholar_id"), "external_ids", F.col("found_by").alias("query_matched"), "relevance_score", "included", "rejection_reason", "group_id")

@@ -273,3 +273,32 @@ def test_collapse_takes_the_canonical_copy(spark, corpus, hybrid):
     assert [r.chunk_id for r in search.shown(ranked, copies, 5, "new", papers).orderBy("position").collect()] == [2, 3]
     assert [r.chunk_id for r in search.shown(ranked, copies, 5, "none").orderBy("position").collect()] == [1, 2, 3]
     assert evaluation.summary(spark.createDataFrame([], "type string, recall double"), "type", ["recall"]).count() <= 1
+
+
+# ---------------------------------------------------------------- command line
+
+
+def test_commands_from_hits_to_evaluation(spark, tmp_path, capsys, monkeypatch):
+    from quern import __main__ as cli
+
+    monkeypatch.setattr(cli, "session", lambda master: spark)
+    root = tmp_path.as_uri()
+    hits = [hit(i, "arxiv", "words", str(i), "v1", "", f"Tokenizer-free models {i}", "arXiv", "A tokenizer for merge rules of a language model. " + TEXTS[i % 4]) for i in range(1, 5)] + [hit(9, "arxiv", "words", "9", "v1", "", "Whales")]
+    spark.createDataFrame(hits, collect.HITS).write.parquet(f"{root}/raw/hits")
+    spark.createDataFrame([("arxiv__1v1", "arxiv_html", "ok", "/r/1.html", "<article><h2>Method</h2><p>" + TEXTS[0] * 9 + "</p></article>")], "key string, method string, status string, path string, html string").write.parquet(f"{root}/raw/documents")
+    (tmp_path / "eval").mkdir()
+    (tmp_path / "eval" / "questions.jsonl").write_text(json.dumps({"id": "q1", "question": "merge rules of byte pairs", "type": "specific", "prior_turns": [], "gold": [{"paper_title": "", "group_id": "arxiv__1v1", "section": "", "supporting_span": "learned from counts"}]}) + "\n")
+    out = {}
+    for command in (["collect"], ["parse"], ["index"], ["index", "--model", "bm25"], ["dedup"], ["eval", "--retrieval", "hybrid", "--diversify"], ["eval", "--retrieval", "bm25"], ["eval"]):
+        capsys.readouterr()
+        assert cli.main([*command, "--root", root]) == 0
+        out[" ".join(command)] = json.loads(capsys.readouterr().out)
+    assert out["collect"]["candidates"] == 5 and out["collect"]["included"] == 4
+    assert out["parse"]["full_text_parsed"] == 1 and out["parse"]["abstract_only"] == 3
+    assert out["index"]["n_chunks"] == out["index --model bm25"]["n_chunks"] == 4
+    assert out["dedup"]["n_near_miss_pairs"] == 0 and out["eval --retrieval hybrid --diversify"]["overall"]["recall_at_k"] == out["eval --retrieval bm25"]["overall"]["recall_at_k"] == out["eval"]["overall"]["recall_at_k"] == 1.0
+    answers = iter(["merge rules of byte pairs", "exit"])
+    monkeypatch.setattr("builtins.input", lambda _: next(answers))
+    capsys.readouterr()
+    assert cli.main(["chat", "--root", root]) == 0 and "Sources:" in capsys.readouterr().out
+    assert cli.main(["run", "no such", root]) == 2
