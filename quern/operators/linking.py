@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..sources import records
+from ..storage import written
 
 # Which source's copy is preferred.
 SOURCE_PRIORITY = {"acl_anthology": 0, "arxiv": 1, "semantic_scholar": 2}
@@ -198,19 +199,22 @@ def resume(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def same_shingle_pairs(rows: DataFrame, *, id_col: str, text_col: str, least: float, n: int = 3) -> DataFrame:
-    """Pairs a < b whose shingle sets have a Jaccard likeness of ``least`` or more, with the likeness.
+    """Pairs a < b of different texts whose shingle sets have a Jaccard likeness of ``least`` or more: a, b, n_a, n_b, similarity.
 
-    Prefix filter: with shingles in one global order (rarest first), two sets so alike
-    share one of their first size - ceil(least * size) + 1. Only those are joined, then
-    pairs are verified on the whole sets.
+    Rows of equal text are one, under their least id; n_a and n_b are their numbers, so
+    copies add no pairs. Shingles are 64-bit hashes. Prefix filter: with shingles in one
+    global order (rarest first), two sets so alike share one of their first size -
+    ceil(least * size) + 1. Only those are joined, then pairs are verified on the whole sets.
     """
-    sets = rows.select(F.col(id_col).alias("id"), t.shingles(F.col(text_col), n).alias("s"))
+    texts = rows.groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
+    sets = written(texts.select("id", "n", F.transform(t.shingles(F.col("text"), n), lambda x: F.xxhash64(x)).alias("s")), "shingle-sets")
     exploded = sets.select("id", F.size("s").alias("size"), F.explode("s").alias("shingle"))
-    counts = exploded.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(counts, "shingle").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "shingle")))
-    prefix = ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * F.lit(least) - F.lit(1e-9)) + 1)
+    counts = exploded.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a shingle of one text joins nothing, but has its place in the order, before all others
+    ranked = exploded.join(counts, "shingle", "left").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "shingle")))
+    prefix = ranked.where((F.col("r") <= F.col("size") - F.ceil(F.col("size") * F.lit(least) - F.lit(1e-9)) + 1) & F.col("df").isNotNull())
     left, right = prefix.select("shingle", F.col("id").alias("a"), F.col("size").alias("na")), prefix.select("shingle", F.col("id").alias("b"), F.col("size").alias("nb"))
     met = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - F.lit(1e-9))).select("a", "b").distinct()
-    side = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.col("s").alias(f"s_{x}"))
+    side = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
     full = met.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
-    return full.select("a", "b", t.jaccard(F.col("s_a"), F.col("s_b")).alias("similarity")).where(F.col("similarity") >= least)
+    return full.select("a", "b", "n_a", "n_b", t.jaccard(F.col("s_a"), F.col("s_b")).alias("similarity")).where(F.col("similarity") >= least)

@@ -113,8 +113,8 @@ def exact_dedup(spark, sf_dir):
 
 
 def neardup_pairs(spark, sf_dir):
-    found = linking.same_shingle_pairs(documents(spark, sf_dir), id_col="doc_id", text_col="text", least=0.9)
-    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    found = linking.same_shingle_pairs(documents(spark, sf_dir), id_col="doc_id", text_col="text", least=0.8)
+    return found.select("a", "b", "n_a", "n_b", F.round("similarity", 6).alias("similarity"))
 
 
 def title_word_blocks(spark, sf_dir):

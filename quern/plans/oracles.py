@@ -171,11 +171,12 @@ SELECT r.o_custkey, min(o_orderkey) AS o_orderkey, arg_min(status, o_orderkey) F
     "anti_resume": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "top_customers": "SELECT o_custkey, c_name, n_orders FROM (SELECT o_custkey, count(*) AS n_orders FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY o_custkey ORDER BY n_orders DESC, o_custkey LIMIT 25) JOIN customer ON c_custkey = o_custkey",
     "exact_dedup": "SELECT min(doc_id) AS keep_id, count(*) AS n_copies FROM documents GROUP BY text",
-    "neardup_pairs": """WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(w) - 2) + 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS s FROM w WHERE len(w) > 0),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both_ FROM e a JOIN e b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b, round(both_::DOUBLE / (na + nb - both_)::DOUBLE, 6) AS similarity FROM p WHERE both_::DOUBLE / (na + nb - both_)::DOUBLE >= 9e-1""",
+    "neardup_pairs": """WITH d AS (SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text),
+w AS (SELECT doc_id, copies, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM d),
+s AS (SELECT doc_id, copies, list_distinct(list_transform(range(1, greatest(1, len(w) - 2) + 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS s FROM w WHERE len(w) > 0),
+e AS (SELECT doc_id, copies, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.copies) AS n_a, any_value(b.copies) AS n_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both_ FROM e a JOIN e b USING (x) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
+SELECT a, b, n_a, n_b, round(both_::DOUBLE / (na + nb - both_)::DOUBLE, 6) AS similarity FROM p WHERE both_::DOUBLE / (na + nb - both_)::DOUBLE >= 8e-1""",
     "title_word_blocks": f"""WITH {PAPERS}, w AS (SELECT doc_id, {significant('title')} AS w FROM papers), e AS (SELECT doc_id, unnest(w) AS block FROM w),
 sizes AS (SELECT block FROM e GROUP BY block HAVING count(*) BETWEEN 2 AND 50), k AS (SELECT e.* FROM e JOIN sizes USING (block)),
 pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y USING (block) WHERE x.doc_id < y.doc_id),
@@ -184,6 +185,11 @@ SELECT * FROM scored WHERE overlap >= 2e-1 AND overlap <= 9e-1""",
     "chunk_words": f"WITH {CHUNKS} SELECT doc_id, chunk_index, md5(text) AS text_md5 FROM chunks",
     "parse_status_report": f"""WITH {CHUNKS}, c AS (SELECT doc_id, count(*) AS chunks FROM chunks GROUP BY doc_id)
 SELECT CASE WHEN n_chars >= 200 THEN 'full_text' WHEN trim(text) <> '' THEN 'abstract_only' ELSE 'no_text_not_indexed' END AS status, count(*) AS n_docs, coalesce(sum(c.chunks), 0)::BIGINT AS n_chunks FROM documents LEFT JOIN c USING (doc_id) GROUP BY 1""",
+    "html_sections": """WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(x, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS h, regexp_replace(regexp_replace(regexp_replace(x, '(?s)^.*?</h1>', ''), '(?s)<(script|style)>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+u AS (SELECT page_id, unnest(['h', 't']) AS part, replace(replace(replace(replace(replace(unnest([h, t]), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM b),
+c AS (SELECT page_id, regexp_replace(any_value(x) FILTER (part = 'h'), '^[0-9.]+\\s*', '') AS heading, trim(regexp_replace(any_value(x) FILTER (part = 't'), '\\s+', ' ', 'g')) AS text FROM u GROUP BY page_id)
+SELECT page_id, 0::BIGINT AS sec_idx, heading, md5(text) AS text_md5 FROM c WHERE text <> ''""",
     "html_headings": "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS heading FROM pages",
     "repeated_lines": "SELECT source, line, count(DISTINCT doc_id) AS n_pages FROM (SELECT source, doc_id, lower(trim(unnest(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents) WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2",
     "bm25_stats": f"WITH {INDEX} SELECT any_value(n) AS n, round(any_value(avgdl), 6) AS avgdl, round(any_value(mean_idf), 6) AS mean_idf, count(*) AS n_terms, count(*) FILTER (df > 1) AS n_shared, round(sum(idf), 3) AS sum_idf FROM terms, totals, mean",
