@@ -22,12 +22,16 @@ from pyspark.sql import types as T
 
 from .common import field, map_texts
 
-#: Bytes of words, and of segments between spaces, whose ids a worker remembers; beyond them it starts anew.
-REMEMBERED_BYTES = 24 << 20
+#: Bytes of words, and of segments between spaces, whose ids a worker remembers: in two generations, of which the older goes when the younger is full.
+REMEMBERED_BYTES = 80 << 20
 #: Longest word or segment, in characters, that is remembered, and what an entry takes beside its text and ids.
 SHORT, ENTRY_BYTES = 100, 220
+#: Marks that often follow a word.
+MARKS = tuple(".,;:!?")
+#: Bytes of text that are encoded together.
+CODEC_BYTES = 4 << 20
 #: Characters that are split into words at a time.
-PIECE_CHARS, TOGETHER_CHARS = 1 << 16, 1 << 19
+PIECE_CHARS = 1 << 16
 #: Trees that are advanced together, few enough to stay in a CPU's cache.
 TOGETHER = 4096
 #: Longest word, in bytes, that is merged beside others of its size.
@@ -227,19 +231,22 @@ class Codec:
             self.ranks.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
         self.byte_array, self.pairs = np.array(self.byte_ids), Pairs(self.ranks)
         byte_of = {c: i for i, c in enumerate(letters)}
-        self.bytes: dict[int, bytes] = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()}
+        of_id: dict[int, bytes] = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()}
         self.added: dict[str, int] = {x["content"]: x["id"] for x in config["added_tokens"]}
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in config["added_tokens"]):
             raise ValueError("added tokens that take in what is around them can't be read")
-        self.bytes |= {i: s.encode() for s, i in self.added.items()}
+        of_id |= {i: s.encode() for s, i in self.added.items()}
         self.split_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.words = regex.compile(PATTERN).findall
+        self.marks = {c: np.array([self.byte_ids[ord(c)]], "<i4").tobytes() for c in MARKS}
         self.unsafe = regex.compile(r" (?:\s|$)").search
         self.inner_space = regex.compile(r"(?<=\S) (?=\S)").search if not any(" " in x for x in self.added) else lambda text, at: None
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.memo_bytes = 0
-        top = max(self.bytes)
-        self.table = [self.bytes.get(i, b"") for i in range(top + 1)]
+        table = [of_id.get(i, b"") for i in range(max(of_id) + 2)]  # the last has none
+        self.nothing = len(table) - 1
+        self.raw, self.sizes = np.frombuffer(b"".join(table), np.uint8), np.fromiter(map(len, table), np.int64, len(table))
 
     def merged(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word."""
@@ -260,90 +267,108 @@ class Codec:
             start = found.start()
         return [*out, text[start:]]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers; few pieces of texts are Python objects at a time."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        waiting: list[tuple[int, str]] = []
-        total = 0
-
-        def flush() -> None:
-            for (i, _), ids in zip(waiting, self.encode_pieces([x for _, x in waiting]), strict=True):
-                out[i].append(ids)
-            waiting.clear()
-
-        for i, text in enumerate(texts):
-            for piece in self.pieces(text):
-                waiting.append((i, piece))
-                total += len(piece)
-                if total >= TOGETHER_CHARS:
-                    flush()
-                    total = 0
-        flush()
-        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
-
-    def encode_pieces(self, texts: list[str]) -> list[bytes]:
-        """Ids of each piece.
-
-        A single space between two characters that are no white space always starts
-        a word, so a text is cut there first and its segments are remembered; a text
-        with other white space around a space is split by the pattern as a whole.
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's end.
+
+        A single space between two characters that are no white space always starts a
+        word, so texts are cut there, as arrays; a segment that occurs again costs a
+        number. A text with other white space around a space, or with the string of an
+        added token, is split by the pattern piece by piece.
         """
-        memo = self.memo
-        get, plans, new = memo.get, [], set()
-        for text in texts:
-            plan = []
-            for i, x in enumerate(self.split_added.split(text) if self.split_added and any(a in text for a in self.added) else [text]):
-                if i % 2:
-                    plan.append((None, np.array([self.added[x]], dtype="<i4").tobytes()))
-                elif x:
-                    if self.unsafe(x):
-                        parts = self.words(x)
-                    else:
-                        first, *rest = x.split(" ")
-                        parts = [first]
-                        parts += [" " + y for y in rest]
-                    plan.append((parts, found := list(map(get, parts))))
-                    if None in found:
-                        new.update([p for p, f in zip(parts, found, strict=True) if f is None])
-            plans.append(plan)
-        cut = [(p, self.words(p)) for p in new]
-        fresh = self.merged(list({w for _, words in cut for w in words if w not in memo}))
-        for p, words in cut:
-            if len(words) != 1:
-                fresh[p] = b"".join([memo[w] if w in memo else fresh[w] for w in words])
+        plain = [not self.unsafe(x) and not any(a in x for a in self.added) for x in texts]
+        flat, ends = self.encode_plain([x for x, p in zip(texts, plain, strict=True) if p])
+        if all(plain):
+            return flat, ends
+        cut = iter(np.split(flat, ends[:-1]))
+        found = [next(cut) if p else self.encode_odd(x) for x, p in zip(texts, plain, strict=True)]
+        return np.concatenate(found), np.cumsum([len(x) for x in found])
+
+    def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not texts:
+            return np.zeros(0, "<i4"), np.zeros(0, np.int64)
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = np.asarray(split.offsets)
+        numbered = pc.dictionary_encode(split.flatten())
+        number, first = np.asarray(numbered.indices), offsets[:-1]
+        inner = np.ones(len(number), bool)
+        inner[first] = False
+        # a text's first segment has no space before it
+        occurring = np.bincount(number[inner], minlength=len(numbered.dictionary)) > 0
+        segments = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), numbered.dictionary.filter(pa.array(occurring)), pa.scalar(" ", pa.large_string())).to_pylist()
+        ids = self.ids_of(segments + numbered.dictionary.take(pa.array(number[first])).to_pylist())
+        entry = (np.cumsum(occurring) - 1)[number]
+        entry[first] = len(segments) + np.arange(len(first))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, lengths = gathered(np.frombuffer(b"".join(ids), "<i4"), sizes, entry)
+        return flat, np.cumsum(lengths)[offsets[1:] - 1]
+
+    def encode_odd(self, text: str) -> np.ndarray:
         out = []
-        for plan in plans:
-            ids = []
-            for parts, x in plan:
-                if parts is None:
-                    ids.append(x)
-                elif None in x:
-                    ids += [fresh[p] if f is None else f for p, f in zip(parts, x, strict=True)]
-                else:
-                    ids += x
-            out.append(b"".join(ids))
-        kept = {p: x for p, x in fresh.items() if len(p) < SHORT}
-        size = sum(ENTRY_BYTES + 4 * len(p) + len(x) for p, x in kept.items())
-        if self.memo_bytes + size > REMEMBERED_BYTES:
-            memo.clear()
-            self.memo_bytes = 0
-        if size <= REMEMBERED_BYTES:
-            memo.update(kept)
+        for i, x in enumerate(self.split_added.split(text) if self.split_added else [text]):
+            if i % 2:
+                out.append(np.array([self.added[x]], dtype="<i4").tobytes())
+            else:
+                for piece in self.pieces(x):
+                    out += self.ids_of(self.words(piece))
+        return np.frombuffer(b"".join(out), "<i4")
+
+    def ids_of(self, segments: list[str]) -> list[bytes]:
+        """Ids of each segment, which begins and ends where words do, as little-endian 32-bit integers."""
+        memo, older = self.memo, self.older
+        found = list(map(memo.get, segments))
+        new = {x for x, f in zip(segments, found, strict=True) if f is None}
+        known = {x: older[x] for x in new if x in older} if older else {}
+        # a space and letters of ASCII are one word, a mark after them is another; the rest is split by the pattern
+        single, marked, rest = [], [], []
+        for x in new.difference(known):
+            if x.isascii() and x[1:].isalpha() and (x[0] == " " or x[0].isalpha()):
+                single.append(x)
+            elif x[-1:] in MARKS and x.isascii() and x[1:-1].isalpha() and (x[0] == " " or x[0].isalpha()):
+                marked.append(x)
+            else:
+                rest.append(x)
+        cut = [(x, self.words(x)) for x in rest]
+        inner = {w for _, words in cut for w in words if w not in memo and w not in known}
+        inner.update(single)
+        inner.update([w for x in marked if (w := x[:-1]) not in memo])
+        known |= {w: older[w] for w in inner if w in older} if older else {}
+        fresh = self.merged([w for w in inner if w not in known]) | known
+        for x, words in cut:
+            if len(words) != 1:
+                fresh[x] = b"".join([memo[w] if w in memo else fresh[w] for w in words])
+        kept = {x: ids for x, ids in fresh.items() if len(x) < SHORT}
+        for x in marked:  # put together anew each time, so that they take no memory from words
+            w = x[:-1]
+            fresh[x] = (memo[w] if w in memo else fresh[w]) + self.marks[x[-1]]
+        size = ENTRY_BYTES * len(kept) + 4 * sum(map(len, kept)) + sum(map(len, kept.values()))
+        if self.memo_bytes + size > REMEMBERED_BYTES // 2:
+            self.older, self.memo, self.memo_bytes = memo, {}, 0
+        if size <= REMEMBERED_BYTES // 2:
+            self.memo.update(kept)
             self.memo_bytes += size
-        return out
+        return [fresh[x] if f is None else f for x, f in zip(segments, found, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].astype("<i4").tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """Unknown ids give nothing; bytes that are no UTF-8 give U+FFFD."""
-        try:
-            raw = b"".join(map(self.table.__getitem__, ids)) if not ids or min(ids) >= 0 else None
-        except IndexError:
-            raw = None
-        if raw is None:
-            raw = b"".join([self.bytes.get(i, b"") for i in ids])
-        return raw.decode("utf-8", errors="replace")
+        return self.decode_all(np.asarray(ids, np.int64), np.array([len(ids)]))[0]
+
+    def decode_all(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The text of each run of ids that ends at ``ends``."""
+        there = (flat >= 0) & (flat < len(self.sizes))
+        raw, lengths = gathered(self.raw, self.sizes, np.where(there, flat, self.nothing))
+        stops = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], ends])].tolist()
+        data = raw.tobytes()
+        return [data[a:b].decode("utf-8", errors="replace") for a, b in zip(stops, stops[1:], strict=False)]
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the entries one after the other, where entry i has sizes[i] of them; and the size of each."""
+    lengths = sizes[entries]
+    starts = (np.cumsum(sizes) - sizes)[entries] - (np.cumsum(lengths) - lengths)
+    return values[np.repeat(starts, lengths) + np.arange(int(lengths.sum()))], lengths
 
 
 @lru_cache(maxsize=2)
@@ -351,9 +376,8 @@ def load(path: str) -> Codec:
     return Codec(path)
 
 
-def ids_array(found: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+def ids_array(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat, pa.int32()))
 
 
 def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -368,9 +392,9 @@ def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out: str
 
     def make():
         codec = load(tokenizer)
-        return lambda texts: [ids_array(codec.encode_all(texts))]
+        return lambda texts: [ids_array(*codec.encode_all(texts))]
 
-    return map_texts(docs, keep, text_col, [field(out, T.ArrayType(T.IntegerType()))], make)
+    return map_texts(docs, keep, text_col, [field(out, T.ArrayType(T.IntegerType()))], make, CODEC_BYTES)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out: str = "ids", decoded: str | None = "decoded", same: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -389,16 +413,16 @@ def round_trip(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out:
         codec = load(tokenizer)
 
         def apply(texts):
-            found = codec.encode_all(texts)
-            back = [codec.decode(np.frombuffer(x, "<i4").tolist()) for x in found]
-            made = [ids_array(found)]
+            flat, ends = codec.encode_all(texts)
+            back = codec.decode_all(flat, ends)
+            made = [ids_array(flat, ends)]
             made += [pa.array(back, pa.string())] if decoded else []
             made += [pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_())] if same else []
             return made
 
         return apply
 
-    return map_texts(docs, keep, text_col, fields, make)
+    return map_texts(docs, keep, text_col, fields, make, CODEC_BYTES)
 
 
 def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -412,10 +436,10 @@ def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", out: str = "d
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = part.column("__ids")
-                values, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *np.asarray(pc.fill_null(pc.list_value_length(ids), 0))]).tolist()
+                values, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0)))
                 if values.dtype.kind == "f":  # null ids among them
-                    values = np.nan_to_num(values, nan=-1).astype(np.int64)
-                texts = [codec.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
+                    values = np.nan_to_num(values, nan=-1)
+                texts = codec.decode_all(values.astype(np.int64), ends)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [pa.array(texts, pa.string())], names=[*keep, out])
 
     return df.select(*keep, F.col(ids_col).alias("__ids")).mapInArrow(work, schema)

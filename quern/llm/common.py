@@ -3,57 +3,22 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import discard, shared_dir, written  # noqa: F401  what operators import from here
+
 #: UTF-8 bytes of text that a Python worker turns into Python objects at a time; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it.
-
-    Only where ``spark.checkpoint.dir`` is unset and the master is local (as in tests
-    on one machine) a temporary folder is made and set; a cluster without the setting
-    is an error, as its executors would write to disks of their own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if context.isDefined():
-            return re.sub("^file:/(?=[^/])", "file:///", context.get())
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``limit`` bytes of text each, or one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
@@ -67,11 +32,11 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         yield batch.slice(start)
 
 
-def map_texts(docs: DataFrame, keep: list[str], text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
+def map_texts(docs: DataFrame, keep: list[str], text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], list]], slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """A row of ``keep`` and ``fields`` for each row of ``docs``.
 
-    ``make()`` runs once a task and returns a function from the texts of a slice
-    (null as the empty text) to a list of columns for ``fields``.
+    ``make()`` runs once a task and returns a function from the texts of a slice (of
+    ``slice_bytes`` bytes, or one text; null as the empty text) to a list of columns for ``fields``.
     """
     schema = T.StructType([docs.schema[c] for c in keep] + fields)
     names, own = [f.name for f in schema], fresh(docs, "__text")
@@ -79,13 +44,19 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, fields: list[T.Struct
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
-        for batch in batches:
-            for part in slices(batch, batch.schema.names[at]):
-                texts = [x or "" for x in part.column(at).to_pylist()]
-                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in apply(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=names)
-        del apply
-        give_back()
+        collecting = gc.isenabled()
+        gc.disable()  # these functions make many objects and no cycles
+        try:
+            for batch in batches:
+                for part in slices(batch, batch.schema.names[at], slice_bytes):
+                    texts = [x or "" for x in part.column(at).to_pylist()]
+                    made = [x if isinstance(x, pa.Array) else pa.array(x) for x in apply(texts)]
+                    yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=names)
+        finally:
+            if collecting:
+                gc.enable()
+            del apply
+            give_back()
 
     return docs.select(*keep, *([] if text in keep else [docs[text].alias(own)])).mapInArrow(work, schema)
 

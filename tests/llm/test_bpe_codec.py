@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from quern.llm import bpe_codec
 from quern.llm.bpe_codec import Codec, decode, encode, load, merge_all, merge_beside
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,3 +53,22 @@ def test_rows(spark):
     assert out.columns == ["doc_id", "text", "ids", "decoded"]
     assert sorted(((r.doc_id or 0), len(r.ids), r.decoded) for r in out.collect()) == [(0, 0, ""), (1, 0, ""), (2, 3, "Hello  there"), (2, 3, "Hello  there")]
     assert decode(encode(docs.limit(0), PATH), PATH).count() == 0
+
+
+def test_many_texts_at_once_and_a_small_memory(monkeypatch):
+    """Texts of all kinds beside one another, again and again, with few words remembered."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    made = []
+    for i in range(300):
+        parts = [rng.choice(words) + rng.choice(["", "", ".", ",", "'s", "!?", "7", "\n", "\t"]) for _ in range(rng.randrange(0, 120))]
+        made.append(rng.choice([" ", " ", "  "]).join(parts) + rng.choice(["", " ", "<|endoftext|>"]))
+    made += ["", " ", ".", " .", "a", " a", "a.", "x" * 70_000 + " y", "word " * 30_000]
+    monkeypatch.setattr(bpe_codec, "REMEMBERED_BYTES", 200_000)
+    codec = bpe_codec.Codec(PATH)
+    for _ in range(2):
+        flat, ends = codec.encode_all(made)
+        got = [x.tolist() for x in np.split(flat, ends[:-1])]
+        assert got == [LIBRARY.encode(x, add_special_tokens=False).ids for x in made]
+        assert codec.decode_all(flat, ends) == made
+    assert codec.decode([10**6, -3, 64]) == codec.decode([64])
