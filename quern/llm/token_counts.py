@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from .common import field, map_texts
 
-#: Bytes of segments whose token counts a worker remembers; beyond them it starts anew.
-REMEMBERED_BYTES = 80 << 20
+#: Bytes of segments whose token counts a worker remembers: in two generations, of which the older goes when the younger is full.
+REMEMBERED_BYTES = 160 << 20
 #: Longest segment, in characters, that is remembered, and what an entry takes beside its characters.
 SHORT, ENTRY_BYTES = 64, 160
 
@@ -51,6 +51,7 @@ class Segmented:
             config = json.load(f)
         self.rule = proven_rule(config)
         self.memo: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.memo_bytes = 0
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
@@ -80,10 +81,12 @@ class Segmented:
 
     def count_all(self, texts: list[str]) -> list[int]:
         """Token counts of texts of one chunk each; segments not met before are encoded together."""
-        get, cut = self.memo.get, [self.segments(x) for x in texts]
+        get, older, cut = self.memo.get, self.older, [self.segments(x) for x in texts]
         counts = [None if words is None else list(map(get, words)) for words in cut]
-        new = list({w for words, found in zip(cut, counts, strict=True) if found is not None and None in found for w, n in zip(words, found, strict=True) if n is None})
-        lengths = dict(zip(new, map(len, self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+        new = {w for words, found in zip(cut, counts, strict=True) if found is not None and None in found for w, n in zip(words, found, strict=True) if n is None}
+        lengths = {w: older[w] for w in new if w in older} if older else {}
+        fresh = list(new.difference(lengths))
+        lengths.update(zip(fresh, map(len, self.tokenizer.encode_batch(fresh, add_special_tokens=False)), strict=True))
         out = []
         for text, words, found in zip(texts, cut, counts, strict=True):
             if found is None:
@@ -93,11 +96,10 @@ class Segmented:
             else:
                 out.append(sum(found))
         kept = {w: n for w, n in lengths.items() if len(w) <= SHORT}
-        size = sum(ENTRY_BYTES + 4 * len(w) for w in kept)
-        if self.memo_bytes + size > REMEMBERED_BYTES:
-            self.memo.clear()
-            self.memo_bytes = 0
-        if size <= REMEMBERED_BYTES:
+        size = ENTRY_BYTES * len(kept) + 4 * sum(map(len, kept))
+        if self.memo_bytes + size > REMEMBERED_BYTES // 2:
+            self.older, self.memo, self.memo_bytes = self.memo, {}, 0
+        if size <= REMEMBERED_BYTES // 2:
             self.memo.update(kept)
             self.memo_bytes += size
         return out
