@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import relevance
 from .collect import QUERY_TERMS
 from .composites import SURVEYS, TOLD
-from .oracles import ANSWERS, FOLDED, INCLUDED, PAPERS, UNKNOWN, T, decided, hybrid, jaccard, listed, significant
+from .oracles import ANSWERS, CHUNKS, DECIDED, RANKED, SHOWN, FOLDED, INCLUDED, PAPERS, UNKNOWN, T, bm25, decided, hybrid, jaccard, listed, significant
 
 D = relevance.DEFAULT
 
@@ -121,4 +121,23 @@ SELECT n, n_answered, round(g, 6) AS groundedness_rate, round(ci, 6) AS citation
     "kept_lines": f"""WITH {LINES}, pages_ AS (SELECT doc, count(DISTINCT page) AS n FROM lines GROUP BY doc), on_ AS (SELECT doc, lower(trim(text)) AS low, count(DISTINCT page) AS n FROM lines GROUP BY ALL),
 often AS (SELECT o.doc, low FROM on_ o JOIN pages_ p USING (doc) WHERE p.n >= 3 AND o.n >= greatest(2, floor(p.n * 4e-1)))
 SELECT l.doc, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM lines l WHERE NOT regexp_matches(text, '(?i)^(proceedings of|page \\s*\\d+$|^\\d{{1,4}}$|copyright \\d|©|association for computational linguistics)') AND NOT EXISTS (SELECT 1 FROM often o WHERE o.doc = l.doc AND o.low = lower(trim(l.text))) GROUP BY l.doc""",
+    "line_sections": f"""WITH {LINES}, plain AS (SELECT doc, page, line, regexp_replace(text, '[^ -~]', '', 'g') AS text, size, length(text) % 17 = 0 AS bold FROM lines),
+pages_ AS (SELECT doc, count(DISTINCT page) AS n FROM plain GROUP BY doc), on_ AS (SELECT doc, lower(trim(text)) AS low, count(DISTINCT page) AS n FROM plain GROUP BY ALL),
+often AS (SELECT o.doc, low FROM on_ o JOIN pages_ p USING (doc) WHERE p.n >= 3 AND o.n >= greatest(2, floor(p.n * 4e-1))),
+kept AS (SELECT * FROM plain l WHERE NOT regexp_matches(text, '(?i)^(proceedings of|page \\s*\\d+$|^\\d{{1,4}}$|copyright \\d|©|association for computational linguistics)') AND NOT EXISTS (SELECT 1 FROM often o WHERE o.doc = l.doc AND o.low = lower(trim(l.text)))),
+sized AS (SELECT doc, round(size, 1) AS s, sum(length(text)) AS n, min(page * 20 + line) AS first FROM kept GROUP BY ALL), body AS (SELECT doc, arg_min(s, row(-n, first)) AS body FROM sized GROUP BY doc),
+marked AS (SELECT doc, page, line, trim(text) AS x, regexp_matches(trim(text), '^(\\d{{1,2}}(\\.\\d{{1,2}}){{0,2}})\\.?\\s+[A-Z][\\w\\-/ ]{{1,60}}$') OR (length(trim(text)) < 60 AND regexp_matches(trim(text), '(?i)^\\s*(\\d{{1,2}}\\.?\\d{{0,2}}\\.?\\s*)?(abstract|introduction|related work|background|method(ology)?|approach|experiment(s)?|evaluation|result(s)?|discussion|conclusion(s)?|limitations?|acknowledg(e)?ments?|appendix|references|bibliography)\\s*$'))
+  OR (length(trim(text)) < 70 AND len(list_filter(string_split_regex(trim(text), '[ \\t\\n\\r]+'), lambda w: w <> '')) <= 8 AND (size > body + 5e-1 OR bold) AND regexp_matches(trim(text), '^\\p{{Lu}}')) AS h FROM kept JOIN body USING (doc) WHERE trim(text) <> ''),
+cut AS (SELECT *, max((h AND regexp_matches(x, '(?i)^(\\d+\\.?\\s*)?(references|bibliography)'))::INTEGER) OVER w AS refs, sum(h::INTEGER) OVER w AS sec_idx FROM marked WINDOW w AS (PARTITION BY doc ORDER BY page, line)),
+grouped AS (SELECT doc, sec_idx, max(x) FILTER (h) AS head, coalesce(string_agg(x, ' ' ORDER BY page, line) FILTER (NOT h), '') AS text FROM cut WHERE refs = 0 GROUP BY ALL)
+SELECT doc, sec_idx::BIGINT AS sec_idx, coalesce(array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(head, '^[0-9.]+\\s*', '')), '\\p{{L}}+|\\P{{L}}+'), lambda r: upper(r[1]) || lower(r[2:])), ''), 'Abstract') AS heading, md5(text) AS text_md5 FROM grouped WHERE text <> ''""",
+    "cap_tokens": f"""WITH RECURSIVE {CHUNKS}, pieces(doc_id, chunk_index, w, lo, hi) AS (SELECT doc_id, chunk_index, string_split(text, ' '), 0::BIGINT, len(string_split(text, ' '))::BIGINT FROM chunks UNION ALL
+  SELECT doc_id, chunk_index, w, CASE WHEN half = 0 THEN lo ELSE lo + (hi - lo) // 2 END, CASE WHEN half = 0 THEN lo + (hi - lo) // 2 ELSE hi END FROM pieces, (VALUES (0), (1)) AS halves(half) WHERE hi - lo > 100)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, lo) - 1 AS chunk_index, md5(array_to_string(w[lo + 1:hi], ' ')) AS text_md5 FROM pieces WHERE hi - lo <= 100""",
+    "manifest_round_trip": f"WITH {PAPERS}, {DECIDED} SELECT source, doc_id::VARCHAR AS source_id, 'a \"quoted\", ' || title AS title, s AS relevance_score, {INCLUDED} AS included, CASE WHEN {INCLUDED} THEN '' ELSE reason END AS rejection_reason FROM decided",
+    "saved_index": f"WITH {bm25(SHOWN)} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bm25",
+    "gold_passages": """SELECT item_id AS query_id, (CASE WHEN n = 0 THEN item_id ELSE item_id * 7 + 3 END % 100)::VARCHAR AS group_id, n::BIGINT AS gold_no, text AS span, CASE WHEN item_id % 5 = 0 AND text <> '' THEN text ELSE array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') END AS asked FROM benchmark, (VALUES (0), (1)) AS g(n) WHERE item_id % 11 <> 10""",
+    "response_texts": "SELECT conv_id, turn, CASE WHEN length(text) % 4 > 1 THEN text ELSE '' END AS answer FROM conversations",
+    "chat_answers": f"""WITH {RANKED.replace('f.chunk_id, c.text', 'f.chunk_id, f.score, c.text')}, top AS (SELECT item_id AS query_id, score, ranked.text AS text FROM benchmark LEFT JOIN ranked ON ranked.query_id = item_id AND rank = 1)
+SELECT query_id, CASE WHEN coalesce(score, 0) < 225e-4 THEN 'The corpus doesn''t contain enough information to answer this.' ELSE rtrim(trim(split_part(substr(text, 1, 800), '. ', 1)), '.') || ' [1].' END AS answer, CASE WHEN coalesce(score, 0) < 225e-4 THEN '' ELSE '1' END AS cited, coalesce(score, 0) < 225e-4 AS abstained, CASE WHEN coalesce(score, 0) < 225e-4 THEN 'retrieval_score_below_threshold' ELSE '' END AS abstain_reason FROM top""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import text as t
 from ..operators import evaluation, extraction, linking, relevance, retrieval
 from ..session import table
 from ..sources import records
+from ..storage import shared_dir
 from . import catalog, chat, collect, dedup, parse, search
 
 #: What the default lists look for, and phrases that mark surveys, put into titles and abstracts of the fixtures.
@@ -259,4 +262,63 @@ def parse_run(spark, sf_dir):
     return made.status.join(counts, F.col("key") == F.col("__p"), "left").select("key", "parse_status", "indexed", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
-QUERIES = {f.__name__: f for f in (relevance_default, survey_default, heading_case, name_overlap, valid_responses, atom_parse, json_pages, open_copies, paged_results, fetch_attempts, collect_merge, collect_sample, collect_groups, canary_report, version_pairs, fuzzy_merges, near_miss_pairs, audit_groups, doc_types, eval_run, session_rounds, chat_rates, body_sizes, kept_lines, parse_run)}
+def line_sections(spark, sf_dir):
+    """Sections from page lines of plain letters."""
+    lines = _lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
+    return extraction.line_sections(lines).select("doc", F.col("sec_idx").cast("long").alias("sec_idx"), "heading", F.md5("text").alias("text_md5"))
+
+
+def cap_tokens(spark, sf_dir):
+    """Chunks halved until they have a hundred tokens at most, words standing for tokens."""
+    cut = retrieval.cap_tokens(catalog._chunks(spark, sf_dir).select("doc_id", "chunk_index", "text"), keys=["doc_id"], count=lambda x: len(x.split()), most=100)
+    return cut.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("text").alias("text_md5"))
+
+
+# ---------------------------------------------------------------- files
+
+
+def manifest_round_trip(spark, sf_dir):
+    """A manifest written as CSV and read again."""
+    rows = relevance.decide(catalog.papers(spark, sf_dir), w=catalog.WEIGHTS)
+    names = [c.split()[0] for c in records.MANIFEST.split(", ")]
+    told = {"source": F.col("source"), "source_id": F.col("doc_id").cast("string"), "title": F.concat(F.lit('a "quoted", '), "title"), "relevance_score": F.col("relevance_score"), "included": F.col("included"), "rejection_reason": F.when(F.col("included"), "").otherwise(F.col("reason"))}
+    path = f"{shared_dir(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    records.write_manifest(rows.select(*[told.get(c, F.lit("")).alias(c) for c in names]), path)
+    return records.read_manifest(spark, path).select("source", "source_id", "title", "relevance_score", "included", "rejection_reason")
+
+
+def saved_index(spark, sf_dir):
+    """The lexical index written, read again and asked."""
+    path = f"{shared_dir(spark).rstrip('/')}/bm25-{uuid.uuid4().hex}"
+    retrieval.lexical_index(catalog._chunks(spark, sf_dir)).save(path)
+    found = search.Lexical(retrieval.LexicalIndex.load(spark, path), 6).search(catalog._queries(spark, sf_dir), catalog.SHOWN)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
+def gold_passages(spark, sf_dir):
+    """What is asked of the searcher, and the gold passages of each answerable question."""
+    q = search.answerable(_questions(spark, sf_dir))
+    asked = q.select(F.col("id").alias("__q"), records.query_text(True).alias("asked"))
+    return records.gold_pairs(q).join(asked, F.col("query_id") == F.col("__q")).select("query_id", "group_id", F.col("gold_no").cast("long").alias("gold_no"), "span", "asked")
+
+
+# ---------------------------------------------------------------- answers
+
+
+def response_texts(spark, sf_dir):
+    """Texts of providers' responses, some of them without or broken."""
+    c, n = table(spark, sf_dir, "conversations"), F.length("text") % 4
+    whole = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
+    response = F.when(n == 0, F.lit("{}")).when(n == 1, F.substring(whole, 1, 20)).otherwise(whole)
+    return chat.message_text(c.withColumn("response", response)).select("conv_id", "turn", F.col("text").alias("answer"))
+
+
+def chat_answers(spark, sf_dir):
+    """Grounded answers of the offline provider to the benchmark's items."""
+    ranked = catalog._ranked(spark, sf_dir).select("query_id", "chunk_id", "score", "rank", "group_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.lit("2020").alias("year"), F.lit("s").alias("section"), "text")
+    questions = catalog._queries(spark, sf_dir).select("query_id", F.col("text").alias("question"))
+    made = chat.answer(questions, ranked, chat.Cached(chat.extractive), mode="none")
+    return made.select("query_id", "answer", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), "abstained", "abstain_reason")
+
+
+QUERIES = {f.__name__: f for f in (relevance_default, survey_default, heading_case, name_overlap, valid_responses, atom_parse, json_pages, open_copies, paged_results, fetch_attempts, collect_merge, collect_sample, collect_groups, canary_report, version_pairs, fuzzy_merges, near_miss_pairs, audit_groups, doc_types, eval_run, session_rounds, chat_rates, body_sizes, kept_lines, parse_run, line_sections, cap_tokens, manifest_round_trip, saved_index, gold_passages, response_texts, chat_answers)}

@@ -249,6 +249,7 @@ def test_bootstrap(spark):
     b = spark.createDataFrame([(i, 0.0) for i in range(20)], "query_id int, recall double")
     clear = evaluation.paired_bootstrap(a, b, resamples=200).first()
     assert clear.significant and clear.n == 20 and clear.ci_low <= clear.mean_diff <= clear.ci_high and clear.mean_diff == pytest.approx(0.75)
+    assert evaluation.paired_bootstrap(a, b, resamples=200, most_sent=0).first() == clear
     same = evaluation.paired_bootstrap(a, a, resamples=200).first()
     assert not same.significant and same.mean_diff == 0.0
     with pytest.raises(Exception, match="different queries"):
