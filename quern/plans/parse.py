@@ -133,3 +133,20 @@ def report(marked: DataFrame, chunks: DataFrame) -> dict:
 
 def write_report(spark: SparkSession, made: dict, path: str) -> None:
     spark.createDataFrame([(records.to_json_report(made),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def download_once(spark: SparkSession, url: str, path: str, fetcher: Fetcher) -> bool:
+    """Puts what is at an address into a file, once; whether it had to be fetched. A failed answer is an error and leaves no file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(at):
+        return False
+    answer = fetcher(url)
+    if not answer or answer[0] != 200:
+        raise OSError(f"{url} gave {answer and answer[0]}")
+    half = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    out = store.create(half)
+    out.write(bytearray(answer[1]))
+    out.close()
+    store.rename(half, at)
+    return True

@@ -302,3 +302,55 @@ def test_commands_from_hits_to_evaluation(spark, tmp_path, capsys, monkeypatch):
     capsys.readouterr()
     assert cli.main(["chat", "--root", root]) == 0 and "Sources:" in capsys.readouterr().out
     assert cli.main(["run", "no such", root]) == 2
+
+
+# ---------------------------------------------------------------- PDF files
+
+
+def pdf_of(pages, packed):
+    """A file with (text, size, bold) lines on each page, drawn from the top down."""
+    import zlib
+
+    bodies = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{' '.join(f'{5 + 2 * i} 0 R' for i in range(len(pages)))}] /Count {len(pages)} >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica-Bold >>"]
+    for i, lines in enumerate(pages):
+        drawn = "\n".join(f"BT /{'F2' if bold else 'F1'} {size} Tf 1 0 0 1 72 {720 - 20 * j} Tm ({text}) Tj ET" for j, (text, size, bold) in enumerate(lines)).encode()
+        data = zlib.compress(drawn) if packed else drawn
+        bodies.append(f"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Contents {6 + 2 * i} 0 R >>")
+        bodies.append(f"<< /Length {len(data)} {'/Filter /FlateDecode' if packed else ''} >>\nstream\n".encode() + data + b"\nendstream")
+    return b"%PDF-1.4\n" + b"".join(f"{i} 0 obj\n".encode() + (b if isinstance(b, bytes) else b.encode()) + b"\nendobj\n" for i, b in enumerate(bodies, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_sections_of_pdf_files(spark, packed):
+    from quern.operators import extraction
+    from quern.sources import pdf
+
+    head = ("Journal of Tokens", 9, False)
+    pages = [[head, ("1 Introduction", 14, True), ("We look \\(closely\\) at", 11, False), ("merge rules.", 11, False)], [head, ("2 Method", 14, True), ("Counts are kept.", 11, False)], [head, ("More is said.", 11, False), ("References", 14, True), ("Nobody 2020.", 11, False)]]
+    files = spark.createDataFrame([("a", bytearray(pdf_of(pages, packed))), ("b", bytearray(b"no pdf")), ("c", None)], "doc string, content binary")
+    lines = pdf.page_lines(files)
+    first = [(r.text, r.size, r.bold) for r in lines.where("page = 0").orderBy("line").collect()]
+    assert first == [("Journal of Tokens", 9.0, False), ("1 Introduction", 14.0, True), ("We look (closely) at", 11.0, False), ("merge rules.", 11.0, False)]
+    got = [(r.heading, r.text) for r in extraction.line_sections(lines).orderBy("sec_idx").collect()]
+    assert got == [("Introduction", "We look (closely) at merge rules."), ("Method", "Counts are kept. More is said.")]
+    docs = spark.createDataFrame([("a", "/r/a.pdf", None), ("h", "/r/h.html", "<p>some text</p>")], "doc string, path string, html string")
+    assert {r.doc for r in parse.extract_sections(docs, lines).collect()} == {"a", "h"}
+
+
+def test_pieces_of_a_pdf_line():
+    from quern.sources import pdf
+
+    table = "beginbfchar <01> <0041> <02> <00E9> endbfchar"
+    content = "BT /F1 2 Tf 5 0 0 5 10 700 Tm [(ab) -300 (cd)] TJ 0 -3 TD <0102> Tj T* (x\\\\\\)\\101) Tj ET"
+    data = f"1 0 obj << /Type /Page /Resources << /Font << /F1 2 0 R >> >> /Contents [3 0 R] >> endobj 2 0 obj << /BaseFont /X /ToUnicode 4 0 R >> endobj 3 0 obj << >> stream\n{content}\nendstream endobj 4 0 obj << >> stream\n{table}\nendstream endobj".encode()
+    assert pdf.read_lines(data) == [(0, 0, "ab cd", 10.0, False), (0, 1, "Aé", 10.0, False), (0, 2, "x\\)A", 10.0, False)]
+
+
+def test_downloads_happen_once(spark, tmp_path):
+    calls = []
+    get = lambda url: calls.append(url) or (200, b"bulk")
+    path = (tmp_path / "bulk").as_uri()
+    assert parse.download_once(spark, "u", path, get) and not parse.download_once(spark, "u", path, get) and calls == ["u"]
+    assert (tmp_path / "bulk").read_bytes() == b"bulk"
+    with pytest.raises(OSError):
+        parse.download_once(spark, "u", path + "2", lambda url: (404, b""))
