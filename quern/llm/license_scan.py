@@ -168,27 +168,28 @@ def anchors(sets: dict[str, list[str]], threshold: float) -> list[list[str]]:
     return chosen
 
 
-def counted_words(grams: list[str], threshold: float, share: float = 0.75) -> tuple[list[str], int]:
+def counted_words(grams: list[str], threshold: float, least: int = 3) -> tuple[list[str], int]:
     """Words and how many of them a unit that reaches the threshold with a long template holds at least.
 
     Of any m of the template's n bigrams the unit shares m less n (1 - t / (2 - t)). The
-    words are those of five letters or more that stand in most bigrams, until ``share``
-    of the bigrams hold one; fewer of them than returned are in too few bigrams together.
+    words are those of five letters or more that stand in most bigrams, as many as it
+    takes until no fewer than ``least`` of them can stand in the bigrams that are shared.
     """
     n = len(grams)
     by_word: dict[str, set[int]] = {}
     for i, x in enumerate(grams):
         for w in x.split():
             by_word.setdefault(w, set()).add(i)
-    order = sorted(by_word, key=lambda w: (len(w) < 5, -len(by_word[w]), w))
-    held, covered = [], set()
-    while len(covered) < share * n:
-        held.append(order[len(held)])
-        covered |= by_word[held[-1]]
-    wanted, k = len(covered) - (n - size_bounds(n, threshold)[0]), 0
-    sizes = sorted((len(by_word[w]) for w in held), reverse=True)
-    while k < len(sizes) and sum(sizes[:k]) < wanted:
-        k += 1
+    held, covered, sizes, k = [], set(), [], 0
+    for w in sorted(by_word, key=lambda w: (len(w) < 5, -len(by_word[w]), w)):
+        held.append(w)
+        covered |= by_word[w]
+        sizes = sorted([*sizes, len(by_word[w])], reverse=True)
+        wanted, k = len(covered) - (n - size_bounds(n, threshold)[0]), 0
+        while wanted > sum(sizes[:k]):
+            k += 1
+        if k >= least:
+            break
     return held, max(1, k)
 
 
