@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import relevance
 from .collect import QUERY_TERMS
 from .composites import SURVEYS, TOLD
-from .oracles import ANSWERS, CHUNKS, DECIDED, RANKED, SHOWN, FOLDED, INCLUDED, PAPERS, UNKNOWN, T, bm25, decided, hybrid, jaccard, listed, significant
+from .oracles import ANSWERS, CHUNKS, DECIDED, RANKED, SECTIONS, SHOWN, FOLDED, INCLUDED, PAPERS, UNKNOWN, T, bm25, decided, hybrid, jaccard, listed, significant
 
 D = relevance.DEFAULT
 
@@ -140,4 +140,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, lo)
     "response_texts": "SELECT conv_id, turn, CASE WHEN length(text) % 4 > 1 THEN text ELSE '' END AS answer FROM conversations",
     "chat_answers": f"""WITH {RANKED.replace('f.chunk_id, c.text', 'f.chunk_id, f.score, c.text')}, top AS (SELECT item_id AS query_id, score, ranked.text AS text FROM benchmark LEFT JOIN ranked ON ranked.query_id = item_id AND rank = 1)
 SELECT query_id, CASE WHEN coalesce(score, 0) < 225e-4 THEN 'The corpus doesn''t contain enough information to answer this.' ELSE rtrim(trim(split_part(substr(text, 1, 800), '. ', 1)), '.') || ' [1].' END AS answer, CASE WHEN coalesce(score, 0) < 225e-4 THEN '' ELSE '1' END AS cited, coalesce(score, 0) < 225e-4 AS abstained, CASE WHEN coalesce(score, 0) < 225e-4 THEN 'retrieval_score_below_threshold' ELSE '' END AS abstain_reason FROM top""",
+    "parse_run": f"""WITH {SECTIONS}, r AS (SELECT page_id, coalesce(page_id % 5 > 0 AND page_id % 7 > 0 AND length(text) >= 200, false) AS full_text, text FROM pages LEFT JOIN c USING (page_id) WHERE page_id % 10 > 0)
+SELECT 'k' || page_id AS key, CASE WHEN full_text THEN 'full_text' WHEN page_id % 3 > 0 THEN 'abstract_only' ELSE 'no_text_not_indexed' END AS parse_status, CASE WHEN NOT full_text AND page_id % 3 = 0 THEN 'no' ELSE 'yes' END AS indexed,
+CASE WHEN full_text THEN greatest(0, ceil((len(string_split(text, ' ')) - 350) / 300e0))::BIGINT + 1 WHEN page_id % 3 > 0 THEN 1 ELSE 0 END AS n_chunks FROM r""",
 }

@@ -73,6 +73,12 @@ mean AS (SELECT avg(raw) AS mean_idf FROM raw),
 terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 25e-2 * mean_idf ELSE raw END AS idf FROM raw, mean)"""
 
 
+#: The one section of each page: heading and text.
+SECTIONS = """a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(x, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS h, regexp_replace(regexp_replace(regexp_replace(x, '(?s)^.*?</h1>', ''), '(?s)<(script|style)>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+u AS (SELECT page_id, unnest(['h', 't']) AS part, replace(replace(replace(replace(replace(unnest([h, t]), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM b),
+c AS (SELECT page_id, regexp_replace(any_value(x) FILTER (part = 'h'), '^[0-9.]+\\s*', '') AS heading, trim(regexp_replace(any_value(x) FILTER (part = 't'), '\\s+', ' ', 'g')) AS text FROM u GROUP BY page_id)"""
+
 #: The queries of the retrieval part, as query_id and text.
 ITEMS = "SELECT item_id AS query_id, text FROM benchmark"
 
@@ -185,10 +191,7 @@ SELECT * FROM scored WHERE overlap >= 2e-1 AND overlap <= 9e-1""",
     "chunk_words": f"WITH {CHUNKS} SELECT doc_id, chunk_index, md5(text) AS text_md5 FROM chunks",
     "parse_status_report": f"""WITH {CHUNKS}, c AS (SELECT doc_id, count(*) AS chunks FROM chunks GROUP BY doc_id)
 SELECT CASE WHEN n_chars >= 200 THEN 'full_text' WHEN trim(text) <> '' THEN 'abstract_only' ELSE 'no_text_not_indexed' END AS status, count(*) AS n_docs, coalesce(sum(c.chunks), 0)::BIGINT AS n_chunks FROM documents LEFT JOIN c USING (doc_id) GROUP BY 1""",
-    "html_sections": """WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
-b AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(x, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS h, regexp_replace(regexp_replace(regexp_replace(x, '(?s)^.*?</h1>', ''), '(?s)<(script|style)>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
-u AS (SELECT page_id, unnest(['h', 't']) AS part, replace(replace(replace(replace(replace(unnest([h, t]), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM b),
-c AS (SELECT page_id, regexp_replace(any_value(x) FILTER (part = 'h'), '^[0-9.]+\\s*', '') AS heading, trim(regexp_replace(any_value(x) FILTER (part = 't'), '\\s+', ' ', 'g')) AS text FROM u GROUP BY page_id)
+    "html_sections": f"""WITH {SECTIONS}
 SELECT page_id, 0::BIGINT AS sec_idx, heading, md5(text) AS text_md5 FROM c WHERE text <> ''""",
     "html_headings": "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS heading FROM pages",
     "repeated_lines": "SELECT source, line, count(DISTINCT doc_id) AS n_pages FROM (SELECT source, doc_id, lower(trim(unnest(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents) WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2",
