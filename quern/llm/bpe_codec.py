@@ -23,13 +23,13 @@ from pyspark.sql import types as T
 from .common import field, map_texts
 
 #: Bytes of words, and of segments between spaces, whose ids a worker remembers: in two generations, of which the older goes when the younger is full.
-REMEMBERED_BYTES = 80 << 20
+REMEMBERED_BYTES = 64 << 20
 #: Longest word or segment, in characters, that is remembered, and what an entry takes beside its text and ids.
 SHORT, ENTRY_BYTES = 100, 220
 #: Marks that often follow a word.
 MARKS = tuple(".,;:!?")
 #: Bytes of text that are encoded together.
-CODEC_BYTES = 4 << 20
+CODEC_BYTES = 2 << 20
 #: Characters that are split into words at a time.
 PIECE_CHARS = 1 << 16
 #: Trees that are advanced together, few enough to stay in a CPU's cache.
@@ -364,11 +364,18 @@ class Codec:
         return [data[a:b].decode("utf-8", errors="replace") for a, b in zip(stops, stops[1:], strict=False)]
 
 
-def gathered(values: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of the entries one after the other, where entry i has sizes[i] of them; and the size of each."""
-    lengths = sizes[entries]
-    starts = (np.cumsum(sizes) - sizes)[entries] - (np.cumsum(lengths) - lengths)
-    return values[np.repeat(starts, lengths) + np.arange(int(lengths.sum()))], lengths
+def gathered(values: np.ndarray, sizes: np.ndarray, entries: np.ndarray, together: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the entries one after the other, where entry i has sizes[i] of them; and the size of each.
+
+    Places are made for some entries at a time, as they take more than the values.
+    """
+    lengths, firsts = sizes[entries], np.cumsum(sizes) - sizes
+    parts = [values[:0]]
+    for at in range(0, len(entries), together):
+        n = lengths[at : at + together]
+        starts = firsts[entries[at : at + together]] - (np.cumsum(n) - n)
+        parts.append(values[np.repeat(starts, n) + np.arange(int(n.sum()))])
+    return np.concatenate(parts), lengths
 
 
 @lru_cache(maxsize=2)

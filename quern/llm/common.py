@@ -63,6 +63,7 @@ def map_texts(docs: DataFrame, keep: list[str], text: str, fields: list[T.Struct
 
 def give_back() -> None:
     """Returns what a worker has freed to the system, as workers live on between tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library
